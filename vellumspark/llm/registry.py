@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumspark.llm import bpe, lsm, minhash
+from vellumspark.llm import bpe, decontaminate, language, lsm, minhash, quality, toxicity, wordpiece
 from vellumspark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,47 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents on two-word shingles at 0.8, with their components."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which the document holds a passage."""
+    found = decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
+def _crc(column: str, divisor: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels are learnt from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), _crc("doc_id", 3) != 1)
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(_crc("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), wordpiece.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs, _crc("doc_id", 5) != 0), reject=False)
+    held_out = F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality posterior of every document, and whether it is rejected."""
+    host, path = quality.site("source")
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host, path)
+    return found.select("doc_id", F.col("_p_document").alias("p_document"), F.col("_host_posterior").alias("host_posterior"), F.col("_path_posterior").alias("path_posterior"), F.col("_posterior").alias("posterior"), F.col("_rejected").alias("rejected"))
