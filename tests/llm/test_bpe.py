@@ -34,7 +34,7 @@ def test_utf8_machine_replaces_as_python_does(raw):
 def test_streaming_decode_is_the_same_in_any_pieces():
     ids = TRUE.encode_ordinary("naïve 你好 🙂 text")
     decoder = bpe.Decoder(MACHINE.token)
-    text = "".join(t for i in ids for t in decoder.feed([i])) + decoder.flush()
+    text = "".join(decoder.feed([i]) for i in ids) + decoder.flush()
     assert text == "naïve 你好 🙂 text"
 
 

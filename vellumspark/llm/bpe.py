@@ -18,11 +18,12 @@ Decoding runs an incremental UTF-8 state machine over token ids; its moves over
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of what a Python worker keeps: pre-tokens with their ids, moves of the transducer, pairs of tokens.
-KEPT_WORDS, KEPT_MOVES, KEPT_PAIRS = 1 << 18, 1 << 19, 1 << 20
+KEPT_WORDS, KEPT_MOVES, KEPT_PAIRS = 1 << 19, 1 << 19, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,10 +44,11 @@ class Transducer:
     """Encodes pre-tokens. ``ranks`` must hold the 256 single bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks = ranks  # a merge makes a token of higher rank than its parts have
         self.open = {token[:k] for token in ranks for k in range(1, len(token))}
         self.token = {i: token for token, i in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves = {i: self._halves(token) for token, i in ranks.items()}
         self._reset()
 
     def _reset(self) -> None:
@@ -54,23 +56,38 @@ class Transducer:
         start = (b"", -1, ((0, ()),))
         self.ids, self.states, self.moves, self.n_moves = {start: 0}, [start], [{}], 0
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Plain BPE of a short piece: merge the lowest rank, the leftmost first, until none is left."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+    def _halves(self, token: bytes) -> tuple[int, int]:
+        """The two tokens that the last merge of a token puts together; (-1, -1) for a single byte."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
-                break
+                raise ValueError("the ranks aren't those of a byte-level BPE vocabulary")
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
 
     def agree(self, left: int, right: int) -> bool:
+        """Whether BPE leaves the two tokens apart. Their merges are undone from the seam, the latest first; as
+        long as a symbol on either side stands there, no merge across the seam may come before it is used up."""
         known = self.pairs.get((left, right))
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            both = [right] if left < 0 else [left, right]
-            known = self.pairs[left, right] = self.merged(b"".join(self.token[t] for t in both)) == both
+            token, halves, get = self.token, self.halves, self.ranks.get
+            known, a, b, a_ends, b_ends = True, left, right, 1 << 60, 1 << 60
+            while left >= 0:
+                across = get(token[a] + token[b])
+                if across is not None and across < a_ends and across <= b_ends:
+                    known = False
+                    break
+                inner, outer = halves[a][1], halves[b][0]
+                if inner >= 0 and (outer < 0 or a > b):
+                    a_ends, a = a, inner
+                elif outer >= 0:
+                    b_ends, b = b, outer
+                else:
+                    break
+            self.pairs[left, right] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -87,23 +104,22 @@ class Transducer:
         if len(ends) != 1:
             raise ValueError("the ranks aren't those of a byte-level BPE vocabulary")
         still.append((0, ends[0]))
-        n = min(len(p) for _, p in still)
-        common = 0
-        while common < n and all(p[common] == ends[0][common] for _, p in still):
-            common += 1
-        emitted = ends[0][:common]
-        kept = tuple((d, p[common:]) for d, p in still)
-        anchor = emitted[-1] if emitted else anchor
-        if all(p for _, p in kept):
+        common = ends[0]
+        for _, pending in still:
+            while common != pending[: len(common)]:
+                common = common[:-1]
+        if common:
+            anchor, n = common[-1], len(common)
+            still = [(d, p[n:]) for d, p in still]
+        if () not in [p for _, p in still]:
             anchor = -2  # no live position follows it directly: it decides nothing any more
-        reach = max(d for d, _ in kept)
-        key = (tail[len(tail) - reach :], anchor, kept)
+        key = (tail[len(tail) - still[0][0] :], anchor, tuple(still))  # the first reaches back the farthest
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-        self.moves[state][byte] = found = (to, emitted)
+        self.moves[state][byte] = found = (to, common)
         self.n_moves += 1
         return found
 
@@ -165,6 +181,8 @@ class Decoder:
         self.token = token
         self.rows: dict[tuple, dict] = {}
         self.clean = self.row = self._row(CLEAN)
+        #: What a token gives that begins and ends between characters; None for others.
+        self.whole = {i: text if row is self.clean else None for i in token for text, row in [self._move(self.clean, i)]}
 
     def _row(self, state: tuple) -> dict:
         # The row holds its own state under None, and for each token the text and the next row.
@@ -178,21 +196,41 @@ class Decoder:
         row[token] = found = ("".join(out), self._row(state))
         return found
 
-    def feed(self, ids: Iterable[int]) -> Iterator[str]:
-        row = self.row
-        for i in ids:
-            text, row = row.get(i) or self._move(row, i)
-            if text:
-                yield text
-        self.row = row
+    def feed(self, ids: Iterable[int]) -> str:
+        """The text that is complete with these ids."""
+        ids = list(ids)
+        texts = list(map(self.whole.__getitem__, ids))
+        at, row = 0, self.row
+        while True:
+            while row is not self.clean and at < len(ids):
+                texts[at], row = row.get(ids[at]) or self._move(row, ids[at])
+                at += 1
+            try:
+                at = texts.index(None, at)
+            except ValueError:
+                self.row = row
+                return "".join(texts)
+            texts[at], row = self.clean[ids[at]]
+            at += 1
 
     def flush(self) -> str:
         pending, self.row = self.row[None][0], self.clean
-        return "�" if pending else ""
+        return "\ufffd" if pending else ""
 
     def decode(self, ids: Iterable[int]) -> str:
-        text = "".join(self.feed(ids))
-        return text + self.flush()
+        return self.feed(ids) + self.flush()
+
+
+#: What this Python process has made for a vocabulary and pattern; tasks that follow use it again.
+_MADE: dict[str, tuple] = {}
+
+
+def made(key: str, ranks: dict[bytes, int], pattern: str) -> tuple[Words, Decoder, Callable[[str], list[str]]]:
+    if key not in _MADE:
+        _MADE.clear()
+        transducer = Transducer(ranks)
+        _MADE[key] = Words(transducer), Decoder(transducer.token), regex.compile(pattern).findall
+    return _MADE[key]
 
 
 def little_endian(ids: Iterable[int]) -> bytes:
@@ -213,34 +251,35 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     tables of bounded size. ``ranks`` is broadcast; it is a vocabulary file and doesn't grow with the data.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
+    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        transducer = Transducer(shared.value)
-        words, decoder, split = Words(transducer), Decoder(transducer.token), regex.compile(pattern).findall
-        for batch in batches:
-            counts, packed, back, kept = [], [], [], []
-            for text in batch.column(1):
-                raw = text.as_py() or b""
-                ids = list(chain.from_iterable(map(words.__getitem__, split(raw.decode("utf-8", "replace")))))
-                counts.append(len(ids))
-                packed.append(hashlib.sha256(little_endian(ids)).hexdigest())
-                back.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    kept.append(pa.array(ids, pa.int32()))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.string()), pa.array(back, pa.string())]
+        words, decoder, split = made(key, shared.value, pattern)
+        gc.disable()  # the tables grow by many small tuples without cycles, which the collector would visit again and again
+        try:
+            for batch in batches:
+                yield one(batch, words, decoder, split)
+        finally:
+            gc.enable()
+
+    def one(batch, words, decoder, split):
+        counts, packed, back, kept = [], [], [], []
+        for text in batch.column(1):
+            raw = text.as_py() or b""
+            ids = list(chain.from_iterable(map(words.__getitem__, split(raw.decode("utf-8", "replace")))))
+            counts.append(len(ids))
+            packed.append(hashlib.sha256(little_endian(ids)).hexdigest())
+            back.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
             if with_ids:
-                offsets = pa.array([0, *_running(map(len, kept))], pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+                kept.append(pa.array(ids, pa.int32()))
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.string()), pa.array(back, pa.string())]
+        if with_ids:
+            offsets = pa.array([0, *accumulate(map(len, kept))], pa.int32())
+            columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
-
-def _running(lengths: Iterable[int]) -> Iterator[int]:
-    total = 0
-    for n in lengths:
-        total += n
-        yield total
