@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import bpe, decontaminate, language, lsm, minhash, quality, toxicity, wordpiece
+from vellumspark.llm import bpe, decontaminate, language, licenses, lsm, minhash, quality, secrets, toxicity, wordpiece
 from vellumspark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, path = quality.site("source")
     found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host, path)
     return found.select("doc_id", F.col("_p_document").alias("p_document"), F.col("_host_posterior").alias("host_posterior"), F.col("_path_posterior").alias("path_posterior"), F.col("_posterior").alias("posterior"), F.col("_rejected").alias("rejected"))
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in every document, with the forest's score."""
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings()), F.col("source"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
