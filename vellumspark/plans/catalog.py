@@ -5,6 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumspark.functions import encoding
+from vellumspark.functions.text import SPACE
+from vellumspark.operators import html, layout, palm
+from vellumspark.plans import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,3 +22,121 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").withColumn("name", F.concat(F.lit("page_"), F.col("page_id"), F.lit(".html")))
+
+
+# The pages have one template: its list of links and its notice come before the only heading, so that it begins at line 6.
+_HEADING = """regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"""
+_PLAIN = "replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(160), ' ')"
+
+
+@query(
+    f"""SELECT page_id, 0 AS ord, 'html-h-0' AS id,
+  trim(regexp_replace({_PLAIN.format(_HEADING)}, '{SPACE}+', ' ', 'g')) AS label, 1 AS level, 6 AS line_index
+FROM pages"""
+)
+def html_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of every page."""
+    return html.toc(html.books(_pages(spark, sf_dir), F.col("name"), F.col("html")), "page_id")
+
+
+@query("SELECT page_id, 'page_' || page_id AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title of every page: the stem of its name."""
+    return html.books(_pages(spark, sf_dir), F.col("name"), F.col("html")).select("page_id", "title")
+
+
+@query("SELECT page_id, lower(regexp_extract(html, '(?i)<meta charset=\"([^\"]+)\"', 1)) AS encoding FROM pages")
+def declared_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", encoding.declared(F.col("html")).alias("encoding"))
+
+
+@query("SELECT page_id, regexp_replace(html, '(?i)<meta[^>]*charset[^>]*>', '') AS html FROM pages")
+def strip_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", encoding.stripped(F.col("html")).alias("html"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be'
+  WHEN 3 THEN CASE WHEN regexp_matches(text, '[^\\x00-\\x7f]') THEN 'windows-1252' ELSE 'utf-8' END END AS encoding,
+  text, CASE WHEN doc_id % 4 < 3 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM documents
+WHERE NOT (doc_id % 4 = 3 AND regexp_matches(text, '[õûÕÛ]'))"""
+)
+def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written with a mark (three kinds) or as one byte a character, detected and decoded."""
+    docs = _table(spark, sf_dir, "documents").where(~((F.col("doc_id") % 4 == 3) & F.col("text").rlike("[õûÕÛ]")))
+    kinds = [("EFBBBF", "utf-8"), ("FFFE", "utf-16le"), ("FEFF", "utf-16be")]
+    raw = F.encode("text", "iso-8859-1")
+    for k, (mark, name) in reversed(list(enumerate(kinds))):
+        raw = F.when(F.col("doc_id") % 4 == k, F.concat(F.unhex(F.lit(mark)), F.encode("text", name))).otherwise(raw)
+    return docs.select("doc_id", encoding.detected(raw).alias("e")).select("doc_id", "e.encoding", "e.text", "e.confidence")
+
+
+_PRE = "'<html><body><pre>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre></body></html>' AS html"
+
+
+def _held(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", fixtures.container(kind, F.col("text")).alias("content"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def tcr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, "tcr").select("doc_id", palm.tcr_text("content").alias("text"))
+
+
+@query(f"SELECT doc_id, {_PRE} FROM documents")
+def palmdoc_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palm.texts(_held(spark, sf_dir, "palmdoc"), "doc_id")
+
+
+@query(f"SELECT doc_id, {_PRE} FROM documents")
+def ztxt_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palm.texts(_held(spark, sf_dir, "ztxt"), "doc_id")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, greatest(1, (length(text) + 4095) // 4096) AS n, length(text) AS size FROM documents),
+r AS (SELECT doc_id, n, size, unnest(range(n + 1)) AS idx FROM t)
+SELECT doc_id, idx::INT AS idx, (78 + 8 * (n + 1) + CASE WHEN idx = 0 THEN 0 ELSE 16 + 4096 * (idx - 1) END)::BIGINT AS start,
+  (78 + 8 * (n + 1) + CASE WHEN idx = 0 THEN 16 WHEN idx < n THEN 16 + 4096 * idx ELSE 16 + size END)::BIGINT AS next_start FROM r"""
+)
+def pdb_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palm.records(_held(spark, sf_dir, "raw"), "doc_id").select("doc_id", "idx", "start", "next_start")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, n_chars % 60 AS n FROM documents), s AS (SELECT doc_id, n, greatest(1, n // 20) AS step FROM p WHERE n > 0),
+e AS (SELECT doc_id, step, unnest(range(0, n, step)) AS i FROM s)
+SELECT doc_id, (i // step)::INT AS ord, 'djvu-auto-' || i AS id, (i + 1) || '. oldal' AS label, i::INT AS page_index FROM e"""
+)
+def djvu_auto_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.automatic_toc(_table(spark, sf_dir, "documents").withColumn("n", (F.col("n_chars") % 60).cast("int")), "n", "doc_id")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, (n_chars % 97 + 1)::INT AS w, (n_chars % 53 + 1)::INT AS h, doc_id % 2 = 1 AS rtl FROM documents),
+q AS (SELECT *, unnest(CASE WHEN w > h THEN [0, 1] ELSE [0] END) AS part FROM p)
+SELECT doc_id, part::INT AS part, CASE WHEN w > h THEN 'p' || doc_id || '_' || (part + 1) || '.png' ELSE 'p' || doc_id || '.jpg' END AS page_name,
+  (CASE WHEN w > h AND (part = 1) <> rtl THEN w // 2 ELSE 0 END)::INT AS x,
+  (CASE WHEN w <= h THEN w WHEN (part = 1) <> rtl THEN w - w // 2 ELSE w // 2 END)::INT AS part_width FROM q"""
+)
+def comic_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("p"), F.col("doc_id"), F.lit(".jpg")))
+    return layout.split_pages(docs, (F.col("n_chars") % 97 + 1).cast("int"), (F.col("n_chars") % 53 + 1).cast("int"), F.col("doc_id") % 2 == 1, "name", "doc_id")
