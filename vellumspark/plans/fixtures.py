@@ -24,16 +24,17 @@ def pdb(identity: bytes, records: list[bytes], title: bytes = b"book") -> bytes:
 
 def pack(data: bytes) -> bytes:
     """PalmDoc compression by literals, space pairs and back references."""
-    out, i = bytearray(), 0
+    out, i, seen = bytearray(), 0, {}
     while i < len(data):
-        best, n = 0, 0
-        for size in range(10, 2, -1):
-            at = data.rfind(data[i : i + size], max(0, i - 2047), i)
-            if i + size <= len(data) and at >= 0 and at + size <= i:
-                best, n = i - at, size
-                break
-        if n:
-            out += struct.pack(">H", 0x8000 | best << 3 | n - 3)
+        at, n = seen.get(data[i : i + 3], -1), 0
+        if at >= 0 and i - at <= 2047 and i + 3 <= len(data):
+            n = 3
+            while n < 10 and i + n < len(data) and at + n < i and data[at + n] == data[i + n]:
+                n += 1
+        for k in range(i, i + max(n, 1)):
+            seen[data[k : k + 3]] = k
+        if n and i - at >= n:
+            out += struct.pack(">H", 0x8000 | (i - at) << 3 | n - 3)
             i += n
         elif data[i] == 0x20 and i + 1 < len(data) and 0x40 <= data[i + 1] <= 0x7F:
             out.append(data[i + 1] ^ 0x80)
