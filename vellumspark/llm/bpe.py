@@ -30,8 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.kept import kept
+
 #: Bounds of what a Python worker keeps: pre-tokens with their ids, moves of the transducer, pairs of tokens.
-KEPT_WORDS, KEPT_MOVES, KEPT_PAIRS = 1 << 19, 1 << 19, 1 << 19
+KEPT_WORDS, KEPT_MOVES, KEPT_PAIRS = 1 << 19, 1 << 18, 1 << 17
+#: Rows of a batch of results, which holds their ids.
+BATCH = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +47,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pre-tokens. ``ranks`` must hold the 256 single bytes."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], kept_moves: int = KEPT_MOVES):
+        self.kept_moves = kept_moves
         self.ranks = ranks  # a merge makes a token of higher rank than its parts have
         self.open = {token[:k] for token in ranks for k in range(1, len(token))}
         self.token = {i: token for token, i in ranks.items()}
@@ -127,7 +132,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if self.n_moves > KEPT_MOVES:
+        if self.n_moves > self.kept_moves:
             self._reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
@@ -140,13 +145,13 @@ class Transducer:
 class Words(dict):
     """Pre-token -> ids; makes what is missing with the transducer, and is emptied when full."""
 
-    def __init__(self, transducer: Transducer):
-        self.encode = transducer.encode
+    def __init__(self, transducer: Transducer, kept: int = KEPT_WORDS):
+        self.encode, self.kept = transducer.encode, kept
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.encode(word.encode())
         if len(word) <= 64:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.kept:
                 self.clear()
             self[word] = ids
         return ids
@@ -221,16 +226,12 @@ class Decoder:
         return self.feed(ids) + self.flush()
 
 
-#: What this Python process has made for a vocabulary and pattern; tasks that follow use it again.
-_MADE: dict[str, tuple] = {}
-
+def made(key: str, ranks: dict[bytes, int], pattern: str, share: float) -> tuple[Words, Decoder, Callable[[str], list[str]]]:
+    def make():
+        transducer = Transducer(ranks, int(share * KEPT_MOVES))
+        return Words(transducer, int(share * KEPT_WORDS)), Decoder(transducer.token), regex.compile(pattern).findall
 
-def made(key: str, ranks: dict[bytes, int], pattern: str) -> tuple[Words, Decoder, Callable[[str], list[str]]]:
-    if key not in _MADE:
-        _MADE.clear()
-        transducer = Transducer(ranks)
-        _MADE[key] = Words(transducer), Decoder(transducer.token), regex.compile(pattern).findall
-    return _MADE[key]
+    return kept(f"bpe {share} {key}", make)
 
 
 def little_endian(ids: Iterable[int]) -> bytes:
@@ -241,25 +242,27 @@ def little_endian(ids: Iterable[int]) -> bytes:
     return packed.tobytes()
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, share: float = 1.0) -> DataFrame:
     """Encodes and decodes again every whole text: ``id_col``, n_tokens, ids_sha256, decoded_sha256 and, unless
     with_ids is False, ids.
 
     A null text counts as empty: no tokens, the digests of no bytes. Rows aren't joined or grouped, so equal texts,
     equal ids and null ids each keep their row; an empty table gives none. Other columns are not read, whatever
     their names. No shuffle: each row is done where it is read; a worker holds one Arrow batch, one text's ids and
-    tables of bounded size. ``ranks`` is broadcast; it is a vocabulary file and doesn't grow with the data.
+    tables of bounded size. ``ranks`` is broadcast; it is a vocabulary file and doesn't grow with the data. ``share`` scales the tables that a worker
+    keeps, for executors with less memory; the result is the same.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        words, decoder, split = made(key, shared.value, pattern)
+        words, decoder, split = made(key, shared.value, pattern, share)
         gc.disable()  # the tables grow by many small tuples without cycles, which the collector would visit again and again
         try:
             for batch in batches:
-                yield one(batch, words, decoder, split)
+                for k in range(0, batch.num_rows, BATCH):
+                    yield one(batch.slice(k, BATCH), words, decoder, split)
         finally:
             gc.enable()
 

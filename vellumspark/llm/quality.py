@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.kept import kept
 from vellumspark.llm.models import logistic, probability
 from vellumspark.llm.store import saved
 
@@ -70,7 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """The regression; None unless there are labels of both kinds."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     some = marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").select("_y", _features_of("_text").alias("x")).where("not isnan(x[0])").collect()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").select("_y", _features_of("_text").alias("x")).collect()
+    rows = [r for r in rows if not np.isnan(r.x[0])]
     y = np.array([r._y for r in rows], float)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -80,9 +82,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 def _features_of(column: str) -> Column:
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
+        kept("quality", dict)  # frees what another operator has kept in this worker
         return pd.Series([list(map(float, features(t))) for t in texts])
 
-    return of(F.col(column))
+    return of.asNondeterministic()(F.col(column))
 
 
 def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -96,12 +99,14 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
+        kept("quality", dict)
         x = np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES)
         p = np.full(len(x), 0.5) if model is None else probability(np.nan_to_num(x), model)
         return pd.Series(np.where(np.isnan(x[:, 0]), 0.0, p))
 
     named = docs.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("")), "_path": F.coalesce(path.cast("string"), F.lit(""))})
-    scored = named.withColumn("_p_document", of(F.col(text_col)))
+    # Called nondeterministic, as the optimizer may else run it a second time for a filter, in a second worker.
+    scored = named.withColumn("_p_document", of.asNondeterministic()(F.col(text_col)))
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
     evidence = saved(scored.select(F.col(id_col).alias("_id"), "_host", "_path", "_p_document"), "evidence").join(marked, "_id", "left")
     paths = saved(evidence.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(F.coalesce("_y", "_p_document")).alias("good")), "paths")

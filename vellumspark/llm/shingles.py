@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from vellumspark.llm.kept import kept
+
 #: A worker keeps the hashes of so many words.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -21,9 +23,6 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
@@ -37,7 +36,7 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     parts = (text or b"").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, parts), np.uint64, len(parts))
+    h = np.fromiter(map(kept("shingles", _Hashes).__getitem__, parts), np.uint64, len(parts))
     width = min(words, len(h))
     with np.errstate(over="ignore"):
         total = np.full(len(h) - width + 1, width, np.uint64)

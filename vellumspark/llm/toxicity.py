@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.kept import kept
 from vellumspark.llm.models import logistic, probability
 
 #: Labelled documents of each class that are used at most: those of the least hash of their id.
@@ -46,12 +47,9 @@ class _Codes(dict):
         return code
 
 
-_CODES = _Codes()
-
-
 def coded(text: str | None) -> bytes:
     """Sixteen bytes for each word (run of letters) of the text in lower case."""
-    return b"".join(map(_CODES.__getitem__, _WORD((text or "").lower())))
+    return b"".join(map(kept("codes", _Codes).__getitem__, _WORD((text or "").lower())))
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:

@@ -7,6 +7,7 @@ in one pass, without going back and without making pieces.
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Iterable
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.kept import kept
+
 KEPT_WORDS = 1 << 18
 #: Begins a word, as in the vocabulary.
 MARK = "▁"
@@ -80,9 +83,6 @@ class _Counts(dict):
         return n
 
 
-_MADE: dict[int, _Counts] = {}
-
-
 def read_pieces(path: str) -> list[str]:
     """The ordinary pieces of a sentencepiece vocabulary file, without control, unknown and byte pieces."""
     import sentencepiece
@@ -98,15 +98,12 @@ def token_counts(df: DataFrame, pieces: list[str], id_col: str = "doc_id", text_
     place where none fits. Null and empty texts count 0. Rows aren't joined or grouped, so repeated rows and null ids
     stay; only the two columns are read. ``pieces`` is broadcast; a vocabulary doesn't grow with the data.
     """
-    key = hash(tuple(pieces))
+    key = "pieces " + hashlib.sha256("\n".join(pieces).encode()).hexdigest()
     shared = df.sparkSession.sparkContext.broadcast(pieces)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        if key not in _MADE:
-            _MADE.clear()
-            _MADE[key] = _Counts(shared.value)
-        count = _MADE[key].__getitem__
+        count = kept(key, lambda: _Counts(shared.value)).__getitem__
         for batch in batches:
             words, tokens, unknown = [], [], []
             for text in batch.column(1):
