@@ -143,15 +143,19 @@ class Transducer:
 
 
 class Words(dict):
-    """Pre-token -> ids; makes what is missing with the transducer, and is emptied when full."""
+    """Pre-token -> ids; makes what is missing with the transducer. Of two generations, each half of what is kept, the
+    older goes when the younger is full; words that are met again move to the younger, so frequent ones stay."""
 
     def __init__(self, transducer: Transducer, kept: int = KEPT_WORDS):
-        self.encode, self.kept = transducer.encode, kept
+        self.encode, self.kept, self.older = transducer.encode, max(1, kept // 2), {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.encode(word.encode())
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word.encode())
         if len(word) <= 64:
             if len(self) >= self.kept:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
