@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import encoding
 from vellumspark.functions.text import SPACE
-from vellumspark.operators import html, layout, palm
+from vellumspark.operators import fb2, html, layout, palm
 from vellumspark.plans import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,15 @@ SELECT doc_id, part::INT AS part, CASE WHEN w > h THEN 'p' || doc_id || '_' || (
 def comic_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("p"), F.col("doc_id"), F.lit(".jpg")))
     return layout.split_pages(docs, (F.col("n_chars") % 97 + 1).cast("int"), (F.col("n_chars") % 53 + 1).cast("int"), F.col("doc_id") % 2 == 1, "name", "doc_id")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Part ' || doc_id END AS label, text FROM documents),
+s AS (SELECT doc_id, 0 AS ord, CASE label WHEN '' THEN '1. Fejezet' ELSE label END AS title, '<p>' || text || '</p>' AS html FROM d
+UNION ALL SELECT doc_id, 1, CASE label WHEN '' THEN 'Notes' ELSE label || ' - Notes' END, '<h3>' || doc_id || '</h3><p><em>end</em></p>' FROM d)
+SELECT doc_id, ord, 'sec-' || ord AS id, title, html FROM s"""
+)
+def fb2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every document written as a FictionBook file: its text, and a section inside it."""
+    docs = _table(spark, sf_dir, "documents").withColumn("xml", fixtures.fiction_book(F.col("doc_id"), F.col("text")))
+    return fb2.sections(fb2.books(docs, F.concat("doc_id", F.lit(".fb2")), F.col("xml")), "doc_id")

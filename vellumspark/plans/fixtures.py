@@ -70,3 +70,11 @@ def container(kind: str, text: Column) -> Column:
         return pd.Series([None if t is None else one(t) for t in texts])
 
     return made(text)
+
+
+def fiction_book(doc_id: Column, text: Column) -> Column:
+    """XML with the text in one section, which two of three documents title, and a second section inside it."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    label = F.when(doc_id % 3 == 0, "").otherwise(F.concat(F.lit("<title><p>Part "), doc_id, F.lit("</p></title>")))
+    inner = F.concat(F.lit("<section><title><p>Notes</p></title><subtitle>"), doc_id, F.lit("</subtitle><p><emphasis>end</emphasis></p></section>"))
+    return F.concat(F.lit("<FictionBook><body><section>"), label, F.lit("<p>"), safe, F.lit("</p>"), inner, F.lit("</section></body></FictionBook>"))
