@@ -23,7 +23,7 @@ def trimmed(text: str) -> str:
     return _ENDS.sub("", text)
 
 
-def trim(text: Column) -> Column:
+def trim(text: Column | str) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 

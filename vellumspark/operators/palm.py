@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.functions.text import arrow_function
+from vellumspark.functions.text import arrow_function, trim
 
 
 def number(content: Column, at: int | Column, n: int) -> Column:
@@ -106,13 +106,15 @@ def tcr_text(content: pd.Series) -> pd.Series:
 
 
 def texts(df: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, html) of PalmDoc and zTXT databases; identities of other kinds give no row."""
-    rows = records(df, key, content).withColumn("kind", F.when(F.col("identity").isin("TEXtREAd") | F.col("identity").startswith("TEXT"), "palmdoc").when(F.col("identity") == "zTXTGPlm", "zlib")).where("kind is not null")
+    """(key, html) of PalmDoc and zTXT databases. Other identities, but eReader's, are read as PalmDoc records; they give no row
+    if that has no text."""
+    rows = records(df, key, content).withColumn("kind", F.when(F.col("identity").isin("TEXtREAd") | F.col("identity").startswith("TEXT"), "palmdoc").when(F.col("identity") == "zTXTGPlm", "zlib").when(~F.col("identity").isin("PNRdPPrs", "PNPdPPrs"), "other")).where("kind is not null")
     first = F.first(F.when(F.col("idx") == 0, F.col("bytes")), True).over(Window.partitionBy(key))
     rows = rows.withColumn("r0", first).where("idx > 0")
-    count = F.when(F.col("kind") == "zlib", F.col("n_records") - 1).otherwise(F.least(F.coalesce(number(F.col("r0"), 8, 2), F.col("n_records") - 1), F.col("n_records") - 1))
-    form = F.when((F.col("kind") == "palmdoc") & (number(F.col("r0"), 0, 2) == 1), "raw").otherwise(F.col("kind"))
-    text = rows.where(F.col("idx") <= count).select(key, "idx", _record_text("bytes", form).alias("text"))
-    whole = text.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "").alias("text"))
+    count = F.when(F.col("kind") != "palmdoc", F.col("n_records") - 1).otherwise(F.least(F.coalesce(number(F.col("r0"), 8, 2), F.col("n_records") - 1), F.col("n_records") - 1))
+    form = F.when((F.col("kind") == "palmdoc") & (number(F.col("r0"), 0, 2) == 1), "raw").when(F.col("kind") == "other", "palmdoc").otherwise(F.col("kind"))
+    text = rows.where(F.col("idx") <= count).select(key, "idx", "kind", _record_text("bytes", form).alias("text"))
+    whole = text.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "").alias("text"), F.first("kind").alias("kind"))
+    whole = whole.where((F.col("kind") != "other") | (trim("text") != ""))
     safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return whole.select(key, F.concat(F.lit("<html><body><pre>"), safe, F.lit("</pre></body></html>")).alias("html"))
