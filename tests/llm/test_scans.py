@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -43,3 +44,12 @@ def test_license_edges(spark):
     got = {r.doc_id: (r.license, r.exact) for r in licenses.scan(df).collect()}
     assert got == {3: ("Apache-2.0", True), None: ("MIT", True), 6: ("LGPL-3.0", True), 7: ("Apache-2.0", False)}
     assert licenses.scan(df.where("false")).count() == 0
+
+
+def test_license_in_a_line_of_5000_words():
+    r = random.Random(5)
+    words = ["".join(r.choice(["ba", "ne", "tor", "li", "sen", "ka", "mo", "ri"]) for _ in range(r.randint(1, 4))) for _ in range(5000)]
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, wording in licenses.TEMPLATES.items():
+        text = " ".join([*words[:2500], wording, *words[2500:]])
+        assert [(o, n, x) for o, n, *_, x in scanner.scan(text)] == [(text.index(wording), name, True)]

@@ -1,13 +1,16 @@
 """License scans by conditional compression (operator 6).
 
-Candidate blocks (runs of lines that hold a cue word) are compressed alone and with each template as a raw
-zstandard dictionary. Templates are ranked by the bytes they save; the winners are confirmed by the exact differences in
-wording: template words that the block lacks, and words that it has in between. A version number must be there.
+Regions are runs of lines that hold a cue word. They are cut into short overlapping candidate blocks, for each template
+one at every place where it may begin, of as many words as a confirmed notice can take. A block is compressed alone and
+with its template as a raw zstandard dictionary; what that saves ranks the templates, and the exact differences in
+wording confirm them: template words that the block lacks, and words that it has in between. A version number must be
+there. No notice is rejected by the bytes saved, which say little in long texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -35,67 +38,90 @@ TEMPLATES = {
 }
 CUES = ("license", "licence", "licensed", "permission", "redistribution", "public domain", "cc by", "cc0", "mozilla public")
 
-_WORDS = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+(?:-[^\W\d_]+)*").findall
+_WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+(?:-[^\W\d_]+)*")
 #: Share of a template's words that may be missing, and be in between, for a modified notice.
 LOOSE = 0.2
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(offset, block): consecutive lines that hold a cue."""
+def regions(text: str) -> list[list[re.Match]]:
+    """The words of each run of lines that hold a cue."""
     low = text.lower()
     if not any(c in low for c in CUES):
         return []
     found, at, run = [], 0, None
     for line in text.split("\n"):
         if any(c in line.lower() for c in CUES):
-            run = (run[0], run[1] + "\n" + line) if run else (at, line)
+            run = (run[0] if run else at, at + len(line))
         elif run:
             found.append(run)
             run = None
         at += len(line) + 1
-    return [*found, run] if run else found
+    return [list(_WORD.finditer(text, *r)) for r in ([*found, run] if run else found)]
+
+
+class Template:
+    def __init__(self, name: str, wording: str):
+        self.name, self.words = name, [w.lower() for w in _WORD.findall(wording)]
+        self.bag, spare = Counter(self.words), int(LOOSE * len(self.words))
+        #: Words that a notice has of the template at least, and words that it takes at most.
+        self.need, self.width = len(self.words) - spare, len(self.words) + spare
+        raw = zstandard.ZstdCompressionDict(wording.lower().encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compress = zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False, write_dict_id=False).compress
+
+    def shares(self, words: list[str]) -> bool:
+        """Whether so many of the words are the template's as any notice has."""
+        left, have = dict(self.bag), 0
+        for w in words:
+            if left.get(w):
+                left[w] -= 1
+                have += 1
+        return have >= self.need
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         # Sequences are coded with the literals that the template leaves; a low level is enough for short blocks.
-        self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False)
-        self.with_template = {}
-        for name, wording in templates.items():
-            raw = zstandard.ZstdCompressionDict(wording.lower().encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.with_template[name] = (zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False, write_dict_id=False), _WORDS(wording.lower()))
+        self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False).compress
+        self.templates = [Template(*t) for t in templates.items()]
+
+    def confirmed(self, text: str, region: list[re.Match]) -> list[tuple]:
+        """(key, first word, end, row) of each confirmed place of each template, the best first: of equals the one
+        that lacks least, then the one that saves most, then the longest."""
+        words, found = [w[0].lower() for w in region], []
+        for t in self.templates:
+            if not t.shares(words):
+                continue
+            seen = set()
+            for i, word in enumerate(words):
+                if word not in t.bag or not t.shares(words[i : i + t.width]):
+                    continue
+                missing, extra, version, first, end = differences(t.words, words[i : i + t.width])
+                place = (i + first, i + end)
+                if not version or missing > LOOSE * len(t.words) or extra > LOOSE * len(t.words) or place in seen:
+                    continue
+                seen.add(place)
+                block = region[place[0] : place[0] + t.width]
+                raw = " ".join(text[block[0].start() : block[-1].end()].lower().split()).encode()
+                gain = len(self.plain(raw)) - len(t.compress(raw))
+                found.append(((missing + extra, -gain, -len(t.words), t.name, place), *place, (block[0].start(), t.name, gain, len(raw), missing, extra, missing == extra == 0)))
+        return sorted(found)
 
     def scan(self, text: str) -> list[tuple]:
-        """(offset, license, saved bytes, block bytes, missing, extra, exact) of each confirmed notice: in each
-        block the confirmed template that saves most (of equals the one that lacks least, then the longest)."""
-        found = []
-        for offset, block in blocks(text):
-            raw = " ".join(block.lower().split()).encode()
-            alone, words = len(self.plain.compress(raw)), _WORDS(block.lower())
-            ranked = sorted(((alone - len(c.compress(raw)), name, own) for name, (c, own) in self.with_template.items()), key=lambda r: (-r[0], r[1]))
-            best = None
-            for gain, name, own in ranked:
-                if gain <= 0:
-                    break
-                missing, extra, version = differences(own, words)
-                if version and missing <= LOOSE * len(own) and extra <= LOOSE * len(own):
-                    key = (missing + extra, -gain, -len(own))
-                    if best is None or key < best[0]:
-                        best = (key, (offset, name, gain, len(raw), missing, extra, missing == extra == 0))
-            if best:
-                found.append(best[1])
-        return found
-
-
-def differences(template: list[str], words: list[str]) -> tuple[int, int, bool]:
-    """(template words that are missing, words in between, whether all numbers of the template are there)."""
+        """(offset, license, saved bytes, block bytes, missing, extra, exact) of the best confirmed notice of each
+        region; the offset is that of its first word."""
+        return [found[0][3] for found in (self.confirmed(text, r) for r in regions(text)) if found]
+
+
+def differences(template: list[str], words: list[str]) -> tuple[int, int, bool, int, int]:
+    """(template words that are missing, words in between, whether all numbers of the template are there, first word
+    and end of what is the template's)."""
     same = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
     if not same:
-        return len(template), 0, False
+        return len(template), 0, False, 0, 0
     size = sum(m.size for m in same)
     kept = {template[m.a + k] for m in same for k in range(m.size)}
-    between = same[-1].b + same[-1].size - same[0].b - size
-    return len(template) - size, between, all(w in kept for w in template if w[0].isdigit())
+    first, end = same[0].b, same[-1].b + same[-1].size
+    return len(template) - size, end - first - size, all(w in kept for w in template if w[0].isdigit()), first, end
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
