@@ -53,3 +53,13 @@ def test_license_in_a_line_of_5000_words():
     for name, wording in licenses.TEMPLATES.items():
         text = " ".join([*words[:2500], wording, *words[2500:]])
         assert [(o, n, x) for o, n, *_, x in scanner.scan(text)] == [(text.index(wording), name, True)]
+
+
+def test_wrapped_licenses():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, wording in licenses.TEMPLATES.items():
+        words = wording.split()
+        for width, mark in ((1, ""), (3, "# "), (6, ""), (9, " * ")):
+            lines = [mark + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            text = "\n".join(["some other line", *lines, mark + "end of it"])
+            assert [(n, x) for _, n, *_, x in scanner.scan(text)] == [(name, True)], (name, width)

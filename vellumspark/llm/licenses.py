@@ -1,6 +1,7 @@
 """License scans by conditional compression (operator 6).
 
-Regions are runs of lines that hold a cue word. They are cut into short overlapping candidate blocks, for each template
+Regions are the lines that hold a cue word, with as many words before and after each cue as a notice can take, so that
+wrapped notices are whole. They are cut into short overlapping candidate blocks, for each template
 one at every place where it may begin, of as many words as a confirmed notice can take. A block is compressed alone and
 with its template as a raw zstandard dictionary; what that saves ranks the templates, and the exact differences in
 wording confirm them: template words that the block lacks, and words that it has in between. A version number must be
@@ -10,6 +11,7 @@ there. No notice is rejected by the bytes saved, which say little in long texts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -38,25 +40,35 @@ TEMPLATES = {
 }
 CUES = ("license", "licence", "licensed", "permission", "redistribution", "public domain", "cc by", "cc0", "mozilla public")
 
+#: A cue may be wrapped, and marks of comments may stand between its words.
+_CUE = re.compile("|".join(r"[\W_]+".join(map(re.escape, c.split())) for c in CUES), re.IGNORECASE)
+_CUE_WORDS = tuple({c.split()[0] for c in CUES})
 _WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+(?:-[^\W\d_]+)*")
 #: Share of a template's words that may be missing, and be in between, for a modified notice.
 LOOSE = 0.2
 
 
-def regions(text: str) -> list[list[re.Match]]:
-    """The words of each run of lines that hold a cue."""
+def regions(text: str, reach: int) -> list[list[re.Match]]:
+    """The words of each line that holds a cue, and ``reach`` words before and after each cue; what touches is one."""
     low = text.lower()
-    if not any(c in low for c in CUES):
+    if not any(c in low for c in _CUE_WORDS):
         return []
-    found, at, run = [], 0, None
-    for line in text.split("\n"):
-        if any(c in line.lower() for c in CUES):
-            run = (run[0] if run else at, at + len(line))
-        elif run:
-            found.append(run)
-            run = None
-        at += len(line) + 1
-    return [list(_WORD.finditer(text, *r)) for r in ([*found, run] if run else found)]
+    words = starts = None
+    found, line = [], (0, -1)
+    for m in _CUE.finditer(text):
+        if words is None:
+            words = list(_WORD.finditer(text))
+            starts = [w.start() for w in words]
+        if m.start() > line[1]:
+            end = text.find("\n", m.start())
+            line = (text.rfind("\n", 0, m.start()) + 1, len(text) if end < 0 else end)
+        a = max(0, min(bisect_left(starts, line[0]), bisect_left(starts, m.start()) - reach))
+        b = max(bisect_left(starts, line[1]), bisect_left(starts, m.end()) + reach)
+        if found and a <= found[-1][1]:
+            found[-1] = (found[-1][0], max(b, found[-1][1]))
+        else:
+            found.append((a, b))
+    return [words[a:b] for a, b in found]
 
 
 class Template:
@@ -83,6 +95,7 @@ class Scanner:
         # Sequences are coded with the literals that the template leaves; a low level is enough for short blocks.
         self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False).compress
         self.templates = [Template(*t) for t in templates.items()]
+        self.reach = max((t.width for t in self.templates), default=0)
 
     def confirmed(self, text: str, region: list[re.Match]) -> list[tuple]:
         """(key, first word, end, row) of each confirmed place of each template, the best first: of equals the one
@@ -109,7 +122,7 @@ class Scanner:
     def scan(self, text: str) -> list[tuple]:
         """(offset, license, saved bytes, block bytes, missing, extra, exact) of the best confirmed notice of each
         region; the offset is that of its first word."""
-        return [found[0][3] for found in (self.confirmed(text, r) for r in regions(text)) if found]
+        return [found[0][3] for found in (self.confirmed(text, r) for r in regions(text, self.reach)) if found]
 
 
 def differences(template: list[str], words: list[str]) -> tuple[int, int, bool, int, int]:
