@@ -63,3 +63,15 @@ def test_wrapped_licenses():
             lines = [mark + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
             text = "\n".join(["some other line", *lines, mark + "end of it"])
             assert [(n, x) for _, n, *_, x in scanner.scan(text)] == [(name, True)], (name, width)
+
+
+def test_every_license_of_a_block():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = list(licenses.TEMPLATES)
+    for a, b in [*zip(names, names[1:] + names[:1]), *zip(names, names)]:
+        for between in (" ", "\n", " or, at your option, ", ". x\n\n"):
+            text = licenses.TEMPLATES[a] + between + licenses.TEMPLATES[b]
+            want = [(0, a, True), (len(licenses.TEMPLATES[a] + between), b, True)]
+            assert [(o, n, x) for o, n, *_, x in scanner.scan(text)] == want, (a, b, between)
+    joined = " and ".join(licenses.TEMPLATES.values())
+    assert [n for _, n, *_ in scanner.scan(joined)] == names

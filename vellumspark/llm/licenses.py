@@ -120,9 +120,25 @@ class Scanner:
         return sorted(found)
 
     def scan(self, text: str) -> list[tuple]:
-        """(offset, license, saved bytes, block bytes, missing, extra, exact) of the best confirmed notice of each
-        region; the offset is that of its first word."""
-        return [found[0][3] for found in (self.confirmed(text, r) for r in regions(text, self.reach)) if found]
+        """(offset, license, saved bytes, block bytes, missing, extra, exact) of each confirmed notice, but of a
+        template those that overlap a better place of it, and of others those within a better place. The offset is
+        that of the notice's first word."""
+        out = []
+        for region in regions(text, self.reach):
+            rows, own, longest = [], {}, {}
+            for _, first, end, row in self.confirmed(text, region):
+                # Places of one template don't overlap, so only the neighbours count.
+                mine = own.setdefault(row[1], [])
+                at = bisect_left(mine, (first, end))
+                if (at and mine[at - 1][1] > first) or (at < len(mine) and mine[at][0] < end):
+                    continue
+                if any(longest.get(a, 0) >= end for a in range(first - self.reach, first + 1)):
+                    continue
+                mine.insert(at, (first, end))
+                longest[first] = max(end, longest.get(first, 0))
+                rows.append(row)
+            out += sorted(rows)
+        return out
 
 
 def differences(template: list[str], words: list[str]) -> tuple[int, int, bool, int, int]:
