@@ -25,8 +25,13 @@ _CANDIDATE = re.compile(
     r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<assigned>[^\s\"'<>,;]{6,})"
     r"|-----BEGIN (?P<block>[A-Z ]*PRIVATE KEY)-----"
 )
+# Names that hold a key word, as DB_PASSWORD or client_secret; a value that is itself such an assignment gives its own value.
+_NAME = r"(?>(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\w.-]*+)"
+_ASSIGNS = r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_NAMED = re.compile(rf"(?i:{_NAME})(?:{_ASSIGNS}(?!(?>[\w.-]*?(?i:{_NAME})){_ASSIGNS}[^\s\"'<>,;]{{6}})(?P<assigned>[^\s\"'<>,;]{{6,}}))?")
 #: A text with none of these has no candidate; looked for in lower case.
-_HINTS = ("akia", "asia", "gh", "sk_live_", "xox", "aiza", "password", "passwd", "pwd", "secret", "token", "key", "auth")
+_KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth")
+_HINTS = ("akia", "asia", "gh", "sk_live_", "xox", "aiza", *_KEY_WORDS)
 
 # Words that placeholders are made of, words beside secrets, words beside digests, and paths of samples.
 PLACEHOLDERS = "password secret token example sample test demo dummy changeme change your here fake default admin user placeholder redacted insert value none null true false env config xxxx username enter letmein secure string key".split()
@@ -44,7 +49,19 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
     for m in _CANDIDATE.finditer(text):
         kind = m.lastgroup
         found.append((m.start(kind), kind, m.group(kind)))
-    return found
+    if not any(k in low for k in _KEY_WORDS):
+        return found
+    # Values of longer names, where they don't overlap what is found.
+    more, k = [], 0
+    for m in _NAMED.finditer(text):
+        if m["assigned"] is None:
+            continue
+        start, end = m.span("assigned")
+        while k < len(found) and found[k][0] + len(found[k][2]) <= start:
+            k += 1
+        if k == len(found) or found[k][0] >= end:
+            more.append((start, "assigned", m["assigned"]))
+    return sorted(found + more)
 
 
 def _coverage(value: str) -> float:
