@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -6,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import models
 
 from vellumspark.llm import language, registry, toxicity, wordpiece
+from vellumspark.llm.models import probability
 
 PIECES = wordpiece.read_pieces(P.path("piece_bpe_32k.model"))
 COUNTS = wordpiece.Automaton(PIECES)
@@ -86,3 +91,17 @@ def test_held_out_toxicity(spark, sf):
     toxic = [r.predicted for r in rows if r.toxic]
     clean = [r.predicted for r in rows if not r.toxic]
     assert sum(toxic) >= 0.5 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
+@pytest.mark.parametrize("letters, bad", [("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会", "毒骂辱贱滚蛋"), ("abcdefghiklmnoprstu", "vwxyzzyxwvxvzwyyvxz")])
+def test_toxic_passage_at_the_end_of_an_unspaced_text(letters, bad):
+    r = random.Random(4)
+    rows = [("".join(r.choice(letters) for _ in range(300 + i % 90)) + (bad if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    model = toxicity.fit(pd.DataFrame(rows[:240], columns=["text", "toxic"]))
+    distances = toxicity.Distances(model["toxic"], model["ordinary"])
+    p = probability(np.array([distances.features(t) for t, _ in rows[240:]]), tuple(np.array(model[k]) for k in ("mean", "scale", "weights")))
+    assert [(x >= 0.7) for x in p] == [t == 1 for _, t in rows[240:]]
+
+
+def test_words_alike_in_six_letters_differ():
+    assert toxicity.coded("internal") != toxicity.coded("international") != toxicity.coded("internationally")

@@ -4,8 +4,9 @@ Windows of words are compressed with two zstandard dictionaries, one trained on
 window that the toxic one shortens more is closer to toxic text.
 
 Plain bytes give a poor distance: a word of six letters costs about as much as the match that replaces it. So words
-are coded first: each becomes eight bytes for its first four letters and eight for its first six, digests that
-match as a whole or not at all. A dictionary holds the codes that tell its class from the other best, those of the
+are coded first: each becomes eight bytes for its first four letters and eight for each six letters in a row (all of a
+shorter word), digests that match as a whole or not at all. In scripts without spaces, where a run of letters is a
+clause, it is each two and each three letters in a row. So no letter is left out. A dictionary holds the codes that tell its class from the other best, those of the
 greatest likelihood ratio last, where matches cost least. Windows are compressed without entropy coding (zstandard's
 fast strategy), so that lengths differ by matches only.
 
@@ -35,21 +36,38 @@ WINDOW, CODES, LEAST_DOCS, LEAST_RATIO = 32, 400, 3, 14.0
 KEPT_WORDS = 1 << 18
 
 _WORD = re.compile(r"[^\W\d_]+").findall
+#: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]").search
 
 
 class _Codes(dict):
-    def __missing__(self, word: str) -> bytes:
-        code = xxhash.xxh3_64_digest(word[:4]) + xxhash.xxh3_64_digest("6" + word[:6])
-        if len(word) <= 64:
+    def __missing__(self, word: str) -> tuple[bytes, ...]:
+        digest, n = xxhash.xxh3_64_digest, len(word)
+        if _UNSPACED(word):
+            codes = [digest("2" + word[i : i + 2]) + digest("3" + word[i : i + 3]) for i in range(max(1, n - 1))]
+            step = 2
+        else:
+            codes = [digest("6" + word[i : i + 6]) for i in range(max(1, n - 5))]
+            codes[0] = digest(word[:4]) + codes[0]
+            step = 8
+        units = tuple(b"".join(codes[i : i + step]) for i in range(0, len(codes), step))
+        if n <= 64:
             if len(self) >= KEPT_WORDS:
                 self.clear()
-            self[word] = code
-        return code
+            self[word] = units
+        return units
+
+
+def units(text: str | None) -> list[bytes]:
+    """The codes of each word (run of letters) of the text in lower case; very long words are several units, and runs
+    without spaces are one for each two letters."""
+    codes = kept("codes", _Codes)
+    return [u for w in _WORD((text or "").lower()) for u in codes[w]]
 
 
 def coded(text: str | None) -> bytes:
-    """Sixteen bytes for each word (run of letters) of the text in lower case."""
-    return b"".join(map(kept("codes", _Codes).__getitem__, _WORD((text or "").lower())))
+    """All codes of the text, of eight bytes each."""
+    return b"".join(units(text))
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -66,10 +84,9 @@ class Distances:
         self.toxic, self.ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        code = coded(text)
-        size = 16 * WINDOW
-        d = np.array([len(self.ordinary(w)) - len(self.toxic(w)) for w in (code[i : i + size] for i in range(0, len(code), size))] or [0], float) / 8
-        return (max(d.max(), 0) ** 0.5, np.clip(d, -4, 8).mean(), (d > 0.5).mean(), np.clip(d, 0, None).sum() / len(d) ** 0.5, np.log1p(len(d)))
+        u = units(text)
+        d = np.array([len(self.ordinary(w)) - len(self.toxic(w)) for w in (b"".join(u[i : i + WINDOW]) for i in range(0, len(u), WINDOW))] or [0], float) / 8
+        return (max(d.max(), 0) ** 0.5, np.clip(d, -4, 8).mean(), (d > 0.5).mean(), np.clip(d, 0, None).sum() / len(d) ** 0.5, np.log1p(len(d) if d.max() > 0 else 1))
 
 
 def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
