@@ -105,3 +105,16 @@ def test_toxic_passage_at_the_end_of_an_unspaced_text(letters, bad):
 
 def test_words_alike_in_six_letters_differ():
     assert toxicity.coded("internal") != toxicity.coded("international") != toxicity.coded("internationally")
+
+
+def test_one_dictionary_word_in_a_window_shows():
+    r = random.Random(1)
+    shown = 0
+    for k in range(300):
+        toxic = [r.randbytes(8) for _ in range(400)]
+        distances = toxicity.Distances(b"".join(toxic), r.randbytes(800))
+        codes = [r.randbytes(8) for _ in range(64)]
+        codes[r.randrange(64)] = r.choice(toxic)
+        window = toxicity.framed(b"".join(codes))
+        shown += len(distances.toxic(window)) < len(distances.ordinary(window))
+    assert shown >= 290
