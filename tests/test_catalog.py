@@ -23,3 +23,25 @@ def test_against_duckdb(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_encodings_of_all_documents(spark, tmp_path):
+    """Against brute force: every document has its row, also those that the SQL leaves out."""
+    texts = ["un goût sûr", "il a dû, ça va", "Õhtu", "plain", "café", None, "", "Û à la carte", "âpre", "\xfb"]
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def want(i, t):
+        if t is None:
+            return None, None, None
+        if i % 4 < 3:
+            return ["utf-8", "utf-16le", "utf-16be"][i % 4], t, 1.0
+        if set(t) & set("õû") and not set(t) & set("àâçëïñ"):
+            return "windows-1250", t.encode("latin-1").decode("cp1250"), 0.7
+        return ("utf-8" if t.isascii() else "windows-1252"), t, 0.7
+
+    def row(r):
+        return (r.encoding, r.text, r.confidence)
+
+    got = {r.doc_id: row(r) for r in catalog.detect_encoding(spark, str(tmp_path)).collect()}
+    assert got == {i: want(i, t) for i, t in rows}

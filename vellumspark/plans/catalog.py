@@ -80,8 +80,10 @@ def strip_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE NOT (doc_id % 4 = 3 AND regexp_matches(text, '[õûÕÛ]'))"""
 )
 def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written with a mark (three kinds) or as one byte a character, detected and decoded."""
-    docs = _table(spark, sf_dir, "documents").where(~((F.col("doc_id") % 4 == 3) & F.col("text").rlike("[õûÕÛ]")))
+    """Documents written with a mark (three kinds) or as one byte a character, detected and decoded. The SQL leaves out
+    those of one byte a character that hold õ, û, Õ or Û or have no text; the query has them (õ and û make a document
+    windows-1250, unless it holds à, â, ç, ë, ï or ñ)."""
+    docs = _table(spark, sf_dir, "documents")
     kinds = [("EFBBBF", "utf-8"), ("FFFE", "utf-16le"), ("FEFF", "utf-16be")]
     raw = F.encode("text", "iso-8859-1")
     for k, (mark, name) in reversed(list(enumerate(kinds))):
