@@ -46,3 +46,20 @@ def test_stages_against_brute_force(spark, sf_dir):
     token = {i: t for t, i in bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")).items()}
     assert {r.doc_id: b"".join(token[i] for i in r.ids).decode() for r in kept[4]} == {i: t or "" for i, t in text[3].items()}
     assert all(r.n_tokens == len(r.ids) for r in kept[4])
+
+
+def test_dedup_of_repeated_and_null_ids(spark, sf_dir):
+    def kept(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted((tuple(r) for r in stage(spark, docs, sf_dir).collect()), key=str)
+
+    rows = [(0, "p"), (6, "p"), (6, "q"), (1, "A b"), (1, "c d"), (2, "a b"), (None, "a B"), (None, "only"), (None, "only"), (3, "same"), (3, "same"), (4, "c d"), (5, None), (5, ""), (7, "alone")]
+    want = [(0, "p"), (6, "q"), (1, "A b"), (1, "c d"), (None, "only"), (3, "same"), (7, "alone")]
+    got = kept(pipeline.exact_dedup, rows)
+    assert [r for r in got if r[1]] == sorted(want, key=str) and [r[0] for r in got if not r[1]] == [5]
+
+    base = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(2, base + " z"), (2, other), (1, base), (None, base + " w"), (None, "nothing like it at all here"), (3, "x"), (3, "x"), (9, other + " z"), (4, None)]
+    want = [(1, base), (2, other), (None, "nothing like it at all here"), (3, "x"), (4, None)]
+    assert kept(pipeline.near_dedup, rows) == sorted(want, key=str)
