@@ -33,8 +33,8 @@ from vellumspark.llm.models import logistic, probability
 
 #: Labelled documents of each class that are used at most (those of the least hash of their id), and windows of each
 #: class that one fold gives to training.
-SAMPLE, WINDOWS = 2000, 100_000
-FOLDS, ROUNDS, SHARE = 4, 2, 0.02
+SAMPLE, WINDOWS = 2000, 60_000
+FOLDS, ROUNDS, SHARE = 6, 2, 0.02
 #: Ridge penalty of the weights, as the counts tell much the same and labels may be few.
 PENALTY = 3.0
 #: Bytes of the plain dictionaries, and of the ordinary text and the trained part of the final ones.
@@ -107,11 +107,10 @@ def plain(found: list[str], size: int, random: np.random.Generator) -> bytes:
 
 
 def trained(found: list[str]) -> bytes:
-    """A dictionary by zstandard's trainer, of half the windows' bytes and TRAINED at most, so that it keeps what
-    recurs; all of the windows if they are too few for it."""
+    """A dictionary by zstandard's trainer; all of the windows if they are too few for it."""
     samples = [w.ljust(8) for w in map(_bytes, found)]  # the trainer leaves out shorter ones
     try:
-        return zstandard.train_dictionary(min(TRAINED, sum(map(len, samples)) // 2), samples, k=24, d=6, steps=4).as_bytes()
+        return zstandard.train_dictionary(min(TRAINED, sum(map(len, samples))), samples, k=24, d=6, steps=4).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-TRAINED:]
 
