@@ -17,28 +17,43 @@ LIMIT = 51_200
 
 # Declarations, in the order in which they count, and other names of encodings.
 DECLARATIONS = (
-    r"(?i)<\?xml[^>]*?encoding\s*=\s*[\"']([^\"']+)[\"'][^>]*?\?>",
-    r"(?i)<meta[^>]*?charset\s*=\s*[\"']?([^\"'>\s;/]+)[^>]*?>",
-    r"(?i)<meta[^>]*?content\s*=\s*[\"'][^\"']*?charset\s*=\s*([^\"'\s;]+)[^>]*?>",
+    r"(?i)<\?[^<>]+encoding\s*=\s*['\"]([-_a-z0-9]+)['\"][^<>]*>",
+    r"(?i)<meta\s+charset=['\"]([-_a-z0-9]+)['\"][^<>]*>(?:\s*</meta>)?",
+    r"(?i)<meta\s+[^<>]*?content\s*=\s*['\"][^'\"]*?charset=([-_a-z0-9]+)[^'\"]*?['\"][^<>]*>(?:\s*</meta>)?",
 )
 ALIASES = {
     "macintosh": "mac-roman",
-    "x-sjis": "shift_jis",
-    "mac-cyrillic": "x-mac-cyrillic",
+    "x-sjis": "shift-jis",
+    "mac-centraleurope": "cp1250",
     "gb2312": "gbk",
-    "ks_c_5601-1987": "euc-kr",
-    "latin1": "iso-8859-1",
-    "latin-1": "iso-8859-1",
-    "utf8": "utf-8",
-    "cp1250": "windows-1250",
-    "cp1252": "windows-1252",
+    "chinese": "gbk",
+    "csiso58gb231280": "gbk",
+    "euc-cn": "gbk",
+    "euccn": "gbk",
+    "eucgb2312-cn": "gbk",
+    "gb2312-1980": "gbk",
+    "gb2312-80": "gbk",
+    "iso-ir-58": "gbk",
 }
-# Python's codecs by web label; bytes that a one-byte codec lacks stand for the same code point.
-CODECS = {
-    "utf-8": "utf-8", "ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-1": "cp1252", "windows-1252": "cp1252", "windows-1250": "cp1250",
-    "windows-1251": "cp1251", "iso-8859-2": "iso8859-2", "iso-8859-15": "iso8859-15", "utf-16": "utf-16-le", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be",
-    "shift_jis": "cp932", "gbk": "gb18030", "gb18030": "gb18030", "euc-kr": "cp949", "big5": "big5hkscs", "euc-jp": "euc_jp", "koi8-r": "koi8-r",
-}
+# The web's labels of each decoder, and Python's codec for it; bytes that a one-byte codec lacks stand for
+# the same code point. `macintosh` has a label, but its alias has none, so it can't be decoded.
+_LABELS = {
+    "utf-8": "utf-8 utf8 unicode-1-1-utf-8 x-unicode20utf8",
+    "cp1252": "windows-1252 cp1252 x-cp1252 iso-8859-1 iso8859-1 latin1 l1 ascii us-ascii ansi_x3.4-1968 iso-ir-100 cp819",
+    "cp1250": "windows-1250 cp1250 x-cp1250",
+    "cp1251": "windows-1251 cp1251 x-cp1251",
+    "iso8859-2": "iso-8859-2 iso8859-2 latin2 l2 iso-ir-101",
+    "iso8859-15": "iso-8859-15 iso8859-15 l9",
+    "koi8-r": "koi8-r koi8 koi cskoi8r",
+    "utf-16-le": "utf-16le utf-16 unicode ucs-2 iso-10646-ucs-2",
+    "utf-16-be": "utf-16be unicodefffe",
+    "cp932": "shift-jis shift_jis sjis x-sjis windows-31j ms_kanji ms932",
+    "gb18030": "gbk gb18030 gb2312 gb_2312 gb_2312-80 chinese x-gbk csgb2312 iso-ir-58 csiso58gb231280",
+    "cp949": "euc-kr ks_c_5601-1987 korean windows-949 ksc5601 iso-ir-149",
+    "big5hkscs": "big5 big5-hkscs cn-big5 x-x-big5 csbig5",
+    "euc_jp": "euc-jp x-euc-jp",
+}
+CODECS = {label: codec for codec, labels in _LABELS.items() for label in labels.split()}
 _ONE_BYTE = {"cp1250", "cp1251", "cp1252", "iso8859-2", "iso8859-15", "koi8-r"}
 _HINT, _AGAINST = frozenset(b"\xf5\xfb"), frozenset(b"\xe0\xe2\xe7\xeb\xef\xf1")
 
@@ -91,12 +106,17 @@ def decode(raw: bytes, label: str) -> str | None:
         return None
 
 
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be"))
+
+
 def detect(raw: bytes, said: str | None) -> tuple[str, str, float]:
-    """(encoding, text, confidence): the mark, then what is declared, then utf-8 or a one-byte encoding."""
-    for mark, label in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")):
+    """(encoding, text, confidence): the mark, then what is declared, then utf-8 or a one-byte encoding. Each must decode
+    all bytes (behind a mark: all that follow it), or the next one counts."""
+    for mark, label in MARKS:
         if raw.startswith(mark):
-            codec = {"utf-8": "utf-8", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be"}[label]
-            return label, raw[len(mark) :].decode(codec, "replace"), 1.0
+            if (text := decode(raw[len(mark) :], label)) is not None:
+                return label, text, 1.0
+            break
     if said and (text := decode(raw, said)) is not None:
         return said, text, 0.9
     seen = set(raw)
@@ -106,6 +126,14 @@ def detect(raw: bytes, said: str | None) -> tuple[str, str, float]:
     return ("windows-1252", decode(raw, "windows-1252"), 0.7) if text is None else ("utf-8", text, 0.7)
 
 
+def read(raw: bytes, said: str | None) -> str:
+    """The text of a file: behind a mark with U+FFFD for what is malformed, else as detected."""
+    for mark, label in MARKS:
+        if raw.startswith(mark):
+            return raw[len(mark) :].decode(CODECS[label], "replace").removeprefix("﻿")
+    return detect(raw, said)[1]
+
+
 @arrow_function("encoding string, text string, confidence double")
 def _detected(content: pd.Series, said: pd.Series) -> pd.DataFrame:
     rows = [(None, None, None) if c is None else detect(bytes(c), s) for c, s in zip(content, said, strict=True)]
@@ -118,6 +146,30 @@ def detected(content: Column) -> Column:
     return _detected(content, said)
 
 
+@arrow_function("string")
+def _read(content: pd.Series, said: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else read(bytes(c), s) for c, s in zip(content, said, strict=True)], dtype=object)
+
+
+def text_of(content: Column, said: Column | None = None) -> Column:
+    """The text of a file's bytes; ``said`` is what a declaration names, by default the one in the bytes."""
+    return _read(content, declared(_ascii(content)) if said is None else said)
+
+
+@arrow_function("string")
+def _help_text(content: pd.Series) -> pd.Series:
+    def one(raw: bytes) -> str:
+        text = decode(raw, "utf-8")
+        return decode(raw, "windows-1252") if text is None else text
+
+    return pd.Series([None if c is None else one(bytes(c)) for c in content], dtype=object)
+
+
+def help_text(content: Column) -> Column:
+    """Text of a page of compiled help: utf-8 where that fits, else windows-1252, which fits all bytes."""
+    return _help_text(content)
+
+
 def _ascii(content: Column) -> Column:
     """The head of the bytes as text in which each byte is the character of its number."""
     return F.decode(F.substring(content, 1, LIMIT), "iso-8859-1")

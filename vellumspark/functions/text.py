@@ -33,9 +33,10 @@ def stem(name: Column) -> Column:
 
 
 def arrow_function(kind: str):
-    """A pandas function as a column function of the type; made when first used, as types need a session."""
+    """A pandas function as a column function of the type; made when first used, as types need a session. It counts as
+    nondeterministic, so that the optimizer doesn't run it a second time for a filter or another column."""
 
     def of(function):
-        return lambda *columns: F.pandas_udf(function, kind)(*columns)
+        return lambda *columns: F.pandas_udf(function, kind).asNondeterministic()(*columns)
 
     return of

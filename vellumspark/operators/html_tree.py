@@ -1,13 +1,12 @@
 """A tree of an HTML page from the standard tokenizer, by the main rules of the HTML standard.
 
 Supported: void and raw-text elements, the implied head and body, implied ends of p, li, dt, dd, tr, td, th, option,
-headings, and the reopening of formatting elements that a block left open. Not supported: foster parenting in tables,
-the adoption agency for interleaved formatting, templates and frames.
+headings, the reopening of formatting elements that a block left open, and what stands loose in a table going before it. Not
+supported: the adoption agency for interleaved formatting, templates and frames.
 """
 
 from __future__ import annotations
 
-from html import escape
 from html.parser import HTMLParser
 
 # Classes of elements.
@@ -16,6 +15,12 @@ HEAD = frozenset("base link meta title style script noscript template".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SCOPE = frozenset("html table td th caption button object body".split())
+#: Elements between which nothing but parts of a table may stand, and those parts.
+IN_TABLE = frozenset("table thead tbody tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
+#: Parts that a table has though the markup leaves them out, and where.
+_IMPLIED = {"tr": ("tbody",), "td": ("tbody", "tr"), "th": ("tbody", "tr")}
+_IMPLIED_IN = {"tbody": {"table"}, "tr": {"tbody", "thead", "tfoot"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one ends an open one of these, unless an element of the second set is open in between.
 SIBLINGS = {
@@ -31,31 +36,49 @@ class Element:
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
+    # Trees may be deeper than Python's stack, so nothing here recurses.
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                todo += reversed(node.children)
+        return "".join(out)
 
     def elements(self):
         return [c for c in self.children if isinstance(c, Element)]
 
     def walk(self):
         """Descendants in document order."""
-        for c in self.elements():
-            yield c
-            yield from c.walk()
+        todo = self.elements()[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.elements()[::-1]
 
     def inner(self) -> str:
         """Markup of the content; & < > and no-break spaces of text are escaped."""
-        out = []
-        for c in self.children:
-            if isinstance(c, str):
-                out.append(c if self.tag in ("script", "style") else c.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;"))
+        out, todo = [], [(c, self.tag) for c in reversed(self.children)]
+        while todo:
+            node, around = todo.pop()
+            if isinstance(node, Element):
+                out.append(node.start())
+                if node.tag not in VOID:
+                    todo.append((f"</{node.tag}>", None))
+                    todo += ((c, node.tag) for c in reversed(node.children))
+            elif around is None or around in ("script", "style"):
+                out.append(node)
             else:
-                out.append(c.outer())
+                out.append(node.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;"))
         return "".join(out)
 
+    def start(self) -> str:
+        return f"<{self.tag}" + "".join(' {}="{}"'.format(k, v.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace('"', "&quot;")) for k, v in self.attrs.items()) + ">"
+
     def outer(self) -> str:
-        attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;").replace("&lt;", "<").replace("&gt;", ">")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
+        return self.start() + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
 
 
 class _Builder(HTMLParser):
@@ -70,7 +93,21 @@ class _Builder(HTMLParser):
             self.in_head, self.open = False, [self.body]
 
     def _append(self, node):
-        self.open[-1].children.append(node)
+        last = self.open[-1]
+        if last.tag in IN_TABLE and not (isinstance(node, Element) and node.tag in TABLE_PARTS):
+            self._foster(node)
+        else:
+            last.children.append(node)
+
+    def _foster(self, node):
+        """What may not stand in a table goes before it."""
+        at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == "table")
+        around = self.open[at - 1].children
+        place = next(i for i in range(len(around) - 1, -1, -1) if around[i] is self.open[at])
+        if isinstance(node, str) and place and isinstance(around[place - 1], str):
+            around[place - 1] += node
+        else:
+            around.insert(place, node)
 
     def _close(self, at: int):
         for e in self.open[at:]:
@@ -116,6 +153,11 @@ class _Builder(HTMLParser):
                 self._close(len(self.open) - 1)
             if tag not in ENDS_P and tag not in SIBLINGS and tag not in HEAD:
                 self._reopen()
+            for part in _IMPLIED.get(tag, ()):
+                if self.open[-1].tag in _IMPLIED_IN[part]:
+                    made = Element(part)
+                    self._append(made)
+                    self.open.append(made)
         e = Element(tag, found)
         self._append(e)
         if tag not in VOID:
@@ -146,6 +188,9 @@ class _Builder(HTMLParser):
             self._into_body()
         if not self.in_head and self.open[-1].tag not in ("script", "style", "table", "tbody", "thead", "tfoot", "tr"):
             self._reopen()
+        if self.open[-1].tag in IN_TABLE and data.strip():
+            self._foster(data)
+            return
         last = self.open[-1].children
         if last and isinstance(last[-1], str):
             last[-1] += data

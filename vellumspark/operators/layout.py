@@ -11,7 +11,7 @@ def automatic_toc(df: DataFrame, n_pages: str, *keys: str) -> DataFrame:
     (0 or null) give none."""
     step = F.greatest(F.lit(1), F.floor(F.col(n_pages) / 20)).cast("int")
     pages = df.where(F.col(n_pages) > 0).select(*keys, F.posexplode(F.sequence(F.lit(0), F.col(n_pages).cast("int") - 1, step)).alias("ord", "page_index"))
-    return pages.select(*keys, "ord", F.concat(F.lit("djvu-auto-"), F.col("page_index")).alias("id"), F.concat(F.col("page_index") + 1, F.lit(". oldal")).alias("label"), "page_index")
+    return pages.select(*keys, "ord", F.concat(F.lit("djvu-toc-auto-"), F.col("page_index")).alias("id"), F.concat(F.col("page_index") + 1, F.lit(". oldal")).alias("label"), "page_index")
 
 
 def split_pages(df: DataFrame, width: Column, height: Column, right_to_left: Column, name: str, *keys: str) -> DataFrame:

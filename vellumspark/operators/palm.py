@@ -28,14 +28,25 @@ def headers(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumns({"title": F.trim(F.translate(latin(0, 32), "\0", "")), "identity": latin(60, 8), "n_records": number(raw, 76, 2).cast("int")})
 
 
+def _directory(content: Column) -> Column:
+    """Array (idx, start, next_start) from the directory of a database: a record ends where the next begins, the last at the end."""
+    n = F.coalesce(number(content, 76, 2).cast("int"), F.lit(0))
+    start = lambda i: number(content, F.lit(78) + 8 * i, 4)
+    entry = lambda i: F.struct(i.alias("idx"), start(i).alias("start"), F.when(i == n - 1, F.length(content).cast("long")).otherwise(start(i + 1)).alias("next_start"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), entry)).otherwise(F.array().cast("array<struct<idx:int,start:bigint,next_start:bigint>>"))
+
+
+def _sliced(content: Column, entry: Column) -> Column:
+    length = F.greatest(entry["next_start"] - entry["start"], F.lit(0)).cast("int")
+    return content.substr((entry["start"] + 1).cast("int"), length)
+
+
 def records(df: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, identity, n_records, idx, start, next_start, bytes): a record ends where the next begins, the last at the end."""
-    rows = headers(df, content).where("n_records > 0").withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1)))
-    rows = rows.withColumn("start", number(F.col(content), F.lit(78) + 8 * F.col("idx"), 4))
-    order = Window.partitionBy(key).orderBy("idx")
-    ends = rows.select(key, "idx", "start", F.coalesce(F.lead("start").over(order), F.length(content).cast("long")).alias("next_start"), F.col("identity"), F.col("n_records"), F.col(content))
-    length = F.greatest(F.col("next_start") - F.col("start"), F.lit(0)).cast("int")
-    return ends.withColumn("bytes", F.col(content).substr((F.col("start") + 1).cast("int"), length)).drop(content)
+    """(key, identity, n_records, idx, start, next_start, bytes) of every record. They are cut within their row, so no
+    shuffle carries a file."""
+    raw = F.col(content)
+    rows = headers(df, content).select(key, "identity", "n_records", F.transform(_directory(raw), lambda e: e.withField("bytes", _sliced(raw, e))).alias("_r"))
+    return rows.select(key, "identity", "n_records", F.inline("_r"))
 
 
 def unpack(data: bytes) -> bytes:
@@ -82,11 +93,10 @@ def latin(data: bytes) -> str:
 
 
 @arrow_function("string")
-def _record_text(data: pd.Series, how: pd.Series) -> pd.Series:
-    def one(raw, form):
-        if raw is None:
-            return None
-        raw = bytes(raw)
+def _joined_text(data: pd.Series, how: pd.Series) -> pd.Series:
+    """The texts of a database's records in a row; each record is decoded on its own."""
+
+    def one(raw: bytes, form: str) -> str:
         if form == "palmdoc":
             raw = unpack(raw)
         elif form == "zlib":
@@ -96,7 +106,7 @@ def _record_text(data: pd.Series, how: pd.Series) -> pd.Series:
                 pass  # a record that can't be inflated stays as it is
         return latin(raw)
 
-    return pd.Series([one(r, f) for r, f in zip(data, how, strict=True)])
+    return pd.Series([None if parts is None or form is None else "".join(one(bytes(p), form) for p in parts) for parts, form in zip(data, how, strict=True)], dtype=object)
 
 
 @arrow_function("string")
@@ -105,16 +115,38 @@ def tcr_text(content: pd.Series) -> pd.Series:
     return pd.Series([None if c is None or (t := expand_tcr(bytes(c))) is None else latin(t) for c in content])
 
 
+# Identities, and texts.
+EREADER = ("PNRdPPrs", "PNPdPPrs")
+UNKNOWN = "Nem támogatott PDB formátum: {}. Támogatott: TEXtREAd (PalmDoc), PNRdPPrs/PNPdPPrs (eReader), zTXTGPlm (zTXT)"
+NOT_TCR = "Invalid TCR header: missing !!8-Bit!! magic"
+
+
+def books(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, title, author, html, error) of every row but eReader's. PalmDoc and zTXT databases have a book even without
+    text records; others are read as PalmDoc records, and if that gives no text, or the content is null or too short, the row has an ``error``.
+    Only compression 2 (or a header too short to say) is unpacked; any other is taken as it is."""
+    raw = F.col(content)
+    kind = F.when(F.col("identity").startswith("TEXT") | (F.col("identity") == "TEXtREAd"), "palmdoc").when(F.col("identity") == "zTXTGPlm", "zlib").otherwise("other")
+    rows = headers(df, content).where(~F.coalesce(F.col("identity"), F.lit("")).isin(*EREADER)).withColumn("_kind", kind).withColumn("_d", _directory(raw))
+    r0 = F.when(F.size("_d") > 0, _sliced(raw, F.col("_d")[0]))
+    rows = rows.withColumns({"_packed": F.when(F.length(r0) >= 2, number(r0, 0, 2)).otherwise(2), "_count": F.when(F.length(r0) >= 10, number(r0, 8, 2)), "_rest": F.size("_d") - 1})
+    count = F.when(F.col("_kind") == "palmdoc", F.least(F.coalesce("_count", "_rest"), F.col("_rest"))).otherwise(F.col("_rest")).cast("int")
+    form = F.when(F.col("_kind") == "zlib", "zlib").when((F.col("_kind") == "palmdoc") & (F.col("_packed") != 2), "raw").otherwise("palmdoc")
+    parts = F.transform(F.slice("_d", 2, F.greatest(count, F.lit(0))), lambda e: _sliced(raw, e))
+    rows = rows.select(key, "title", "identity", "_kind", _joined_text(F.when(F.col("identity").isNotNull(), parts), form).alias("_text"))
+    safe = F.replace(F.replace(F.replace("_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    fits = F.coalesce((F.col("_kind") != "other") | (trim("_text") != ""), F.lit(False))
+    html = F.when(fits, F.concat(F.lit("<html><body><pre>"), safe, F.lit("</pre></body></html>")))
+    before, after = UNKNOWN.split("{}")
+    return rows.select(key, F.when(fits, F.col("title")).alias("title"), F.when(fits, F.lit("")).alias("author"), html.alias("html"), F.when(~fits, F.concat(F.lit(before), F.coalesce("identity", F.lit("")), F.lit(after))).alias("error"))
+
+
 def texts(df: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, html) of PalmDoc and zTXT databases. Other identities, but eReader's, are read as PalmDoc records; they give no row
-    if that has no text."""
-    rows = records(df, key, content).withColumn("kind", F.when(F.col("identity").isin("TEXtREAd") | F.col("identity").startswith("TEXT"), "palmdoc").when(F.col("identity") == "zTXTGPlm", "zlib").when(~F.col("identity").isin("PNRdPPrs", "PNPdPPrs"), "other")).where("kind is not null")
-    first = F.first(F.when(F.col("idx") == 0, F.col("bytes")), True).over(Window.partitionBy(key))
-    rows = rows.withColumn("r0", first).where("idx > 0")
-    count = F.when(F.col("kind") != "palmdoc", F.col("n_records") - 1).otherwise(F.least(F.coalesce(number(F.col("r0"), 8, 2), F.col("n_records") - 1), F.col("n_records") - 1))
-    form = F.when((F.col("kind") == "palmdoc") & (number(F.col("r0"), 0, 2) == 1), "raw").when(F.col("kind") == "other", "palmdoc").otherwise(F.col("kind"))
-    text = rows.where(F.col("idx") <= count).select(key, "idx", "kind", _record_text("bytes", form).alias("text"))
-    whole = text.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "").alias("text"), F.first("kind").alias("kind"))
-    whole = whole.where((F.col("kind") != "other") | (trim("text") != ""))
-    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return whole.select(key, F.concat(F.lit("<html><body><pre>"), safe, F.lit("</pre></body></html>")).alias("html"))
+    """(key, html) of the books of ``books`` that have text."""
+    return books(df, key, content).where("error is null").select(key, "html")
+
+
+def tcr_books(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, text, error) of TCR files: without the magic (or null) text is null and error says so."""
+    text = tcr_text(content)
+    return df.select(key, text.alias("text")).select(key, "text", F.when(F.col("text").isNull(), F.lit(NOT_TCR)).alias("error"))

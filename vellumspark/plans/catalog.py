@@ -73,22 +73,48 @@ def strip_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", encoding.stripped(F.col("html")).alias("html"))
 
 
+# Bytes of windows-1250 that another character than that of their number stands for; what has none stays.
+_OF_1250 = {chr(i): encoding.decode(bytes((i,)), "windows-1250") for i in range(128, 256)}
+_OF_1252 = {chr(i): encoding.decode(bytes((i,)), "windows-1252") for i in range(128, 256)}
+
+
+def _one_byte_sql(table: dict[str, str]) -> str:
+    other = {a: b for a, b in table.items() if a != b}
+    return f"translate(text, '{''.join(other)}', '{''.join(other.values())}')"
+
+
 @query(
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be'
-  WHEN 3 THEN CASE WHEN regexp_matches(text, '[^\\x00-\\x7f]') THEN 'windows-1252' ELSE 'utf-8' END END AS encoding,
-  text, CASE WHEN doc_id % 4 < 3 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM documents
-WHERE NOT (doc_id % 4 = 3 AND regexp_matches(text, '[õûÕÛ]'))"""
+    """SELECT doc_id, encoding, CASE encoding WHEN 'utf-8' THEN 'EFBBBF' WHEN 'utf-16le' THEN 'FFFE' WHEN 'utf-16be' THEN 'FEFF' END AS mark,
+  CASE encoding WHEN 'utf-8' THEN 3 WHEN 'utf-16le' THEN 2 WHEN 'utf-16be' THEN 2 END::INT AS strip
+FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' END END AS encoding FROM documents)"""
 )
-def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written with a mark (three kinds) or as one byte a character, detected and decoded. The SQL leaves out
-    those of one byte a character that hold õ, û, Õ or Û or have no text; the query has them (õ and û make a document
-    windows-1250, unless it holds à, â, ç, ë, ï or ñ)."""
-    docs = _table(spark, sf_dir, "documents")
+def bom_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mark of every document written in one of four ways, one of which has none."""
+    found = _written(_table(spark, sf_dir, "documents")).select("doc_id", encoding.bom(F.col("content")).alias("b"), "content")
+    return found.select("doc_id", "b.encoding", F.hex(F.col("content").substr(F.lit(1), F.col("b.strip"))).alias("mark"), "b.strip")
+
+
+def _written(docs: DataFrame) -> DataFrame:
+    """content: three of four documents with a mark, the others as one byte a character."""
     kinds = [("EFBBBF", "utf-8"), ("FFFE", "utf-16le"), ("FEFF", "utf-16be")]
     raw = F.encode("text", "iso-8859-1")
     for k, (mark, name) in reversed(list(enumerate(kinds))):
         raw = F.when(F.col("doc_id") % 4 == k, F.concat(F.unhex(F.lit(mark)), F.encode("text", name))).otherwise(raw)
-    return docs.select("doc_id", encoding.detected(raw).alias("e")).select("doc_id", "e.encoding", "e.text", "e.confidence")
+    return docs.withColumn("content", raw)
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, text, doc_id % 4 AS k, NOT regexp_matches(text, '[^\\x00-\\x7f]') AS ascii,
+  regexp_matches(text, '[õû]') AND NOT regexp_matches(text, '[àâçëïñ]') AS east FROM documents)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN k = 0 THEN 'utf-8' WHEN k = 1 THEN 'utf-16le' WHEN k = 2 THEN 'utf-16be' WHEN east THEN 'windows-1250'
+    WHEN ascii THEN 'utf-8' ELSE 'windows-1252' END AS encoding,
+  CASE WHEN k < 3 THEN text WHEN east THEN {_one_byte_sql(_OF_1250)} WHEN ascii THEN text ELSE {_one_byte_sql(_OF_1252)} END AS text,
+  CASE WHEN text IS NULL THEN NULL WHEN k < 3 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM t"""
+)
+def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written with a mark (three kinds) or as one byte a character, detected and decoded. Of the last, õ and û make a
+    document windows-1250, unless it holds à, â, ç, ë, ï or ñ."""
+    return _written(_table(spark, sf_dir, "documents")).select("doc_id", encoding.detected(F.col("content")).alias("e")).select("doc_id", "e.encoding", "e.text", "e.confidence")
 
 
 _PRE = "'<html><body><pre>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre></body></html>' AS html"
@@ -126,7 +152,7 @@ def pdb_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH p AS (SELECT doc_id, n_chars % 60 AS n FROM documents), s AS (SELECT doc_id, n, greatest(1, n // 20) AS step FROM p WHERE n > 0),
 e AS (SELECT doc_id, step, unnest(range(0, n, step)) AS i FROM s)
-SELECT doc_id, (i // step)::INT AS ord, 'djvu-auto-' || i AS id, (i + 1) || '. oldal' AS label, i::INT AS page_index FROM e"""
+SELECT doc_id, (i // step)::INT AS ord, 'djvu-toc-auto-' || i AS id, (i + 1) || '. oldal' AS label, i::INT AS page_index FROM e"""
 )
 def djvu_auto_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.automatic_toc(_table(spark, sf_dir, "documents").withColumn("n", (F.col("n_chars") % 60).cast("int")), "n", "doc_id")
