@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import encoding
 from vellumspark.functions.text import SPACE
-from vellumspark.operators import fb2, html, layout, palm
+from vellumspark.operators import chm, comic, docx, ereader, fb2, html, layout, palm
 from vellumspark.plans import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,119 @@ def fb2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of every document written as a FictionBook file: its text, and a section inside it."""
     docs = _table(spark, sf_dir, "documents").withColumn("xml", fixtures.fiction_book(F.col("doc_id"), F.col("text")))
     return fb2.sections(fb2.books(docs, F.concat("doc_id", F.lit(".fb2")), F.col("xml")), "doc_id")
+
+
+@query(
+    """WITH RECURSIVE s AS (
+  SELECT doc_id, i, 's' || i AS id, doc_id + i AS k, CASE WHEN i > 0 THEN 's' || (i - 1) WHEN doc_id % 7 = 0 THEN 's' || (doc_id % 5) WHEN doc_id % 7 = 1 THEN 'missing' END AS base
+  FROM (SELECT doc_id, unnest(range(doc_id % 5 + 1)) AS i FROM documents)),
+own AS (SELECT doc_id, id, base, CASE i % 2 WHEN 0 THEN 'paragraph' ELSE 'character' END AS type, CASE k % 3 WHEN 0 THEN false WHEN 1 THEN true END AS bold,
+  CASE WHEN k % 4 = 0 THEN CAST(k % 40 AS VARCHAR) END AS font_size, CASE WHEN i % 2 = 1 THEN 'j' || i END AS jc,
+  CASE k % 5 WHEN 0 THEN CAST(k % 100 AS VARCHAR) || ',' WHEN 1 THEN ',6' END AS spacing FROM s),
+up AS (SELECT doc_id, id AS of, id, base, 0 AS depth, [id] AS seen FROM own
+  UNION ALL SELECT up.doc_id, up.of, own.id, own.base, depth + 1, list_append(seen, own.id) FROM up JOIN own ON own.doc_id = up.doc_id AND own.id = up.base WHERE NOT list_contains(seen, own.id)),
+near AS (SELECT up.doc_id, of AS id, arg_min(bold, depth) FILTER (WHERE bold IS NOT NULL) AS bold, arg_min(font_size, depth) FILTER (WHERE font_size IS NOT NULL) AS font_size,
+  arg_min(jc, depth) FILTER (WHERE jc IS NOT NULL) AS jc, arg_min(spacing, depth) FILTER (WHERE spacing IS NOT NULL) AS spacing
+  FROM up JOIN own ON own.doc_id = up.doc_id AND own.id = up.id GROUP BY ALL)
+SELECT near.doc_id, near.id, own.type, near.bold, near.font_size, near.jc, nullif(split_part(near.spacing, ',', 1), '') AS line, nullif(split_part(near.spacing, ',', 2), '') AS before
+FROM near JOIN own ON own.doc_id = near.doc_id AND own.id = near.id"""
+)
+def docx_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles of a sheet written for every document, with what they inherit."""
+    found = docx.sheets(_table(spark, sf_dir, "documents").select("doc_id", fixtures.style_sheet(F.col("doc_id")).alias("content")))
+    rows = found.select("doc_id", F.inline(docx.resolved(F.col("docx.styles"))))
+    return rows.select("doc_id", "id", "type", "run.bold", "run.font_size", "paragraph.jc", "paragraph.spacing.line", "paragraph.spacing.before")
+
+
+_NAV = '<table><tr><td><a href="p{0}.htm"><img src="x.gif" alt="Previous"></a></td></tr></table>'
+
+
+@query(
+    """SELECT doc_id, '<html><head></head><body>' || CASE doc_id % 3 WHEN 1 THEN '<div>' || safe || '</div>' ELSE '<p>' || safe || '</p>' END || '</body></html>' AS html
+FROM (SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM documents)"""
+)
+def chm_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of compiled help, with links to neighbours, inside one cell, or with an object."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    before, after = _NAV.split("{0}")
+    page = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<body>" + before), F.col("doc_id").cast("string"), F.lit(after + "<p>"), safe, F.lit("</p>")))
+    page = page.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<table><tr><td>"), safe, F.lit("</td></tr></table>")))
+    page = page.otherwise(F.concat(F.lit("<html><body><object><param name=a></object><p>"), safe, F.lit("</p><embed src=x></body></html>")))
+    return _table(spark, sf_dir, "documents").select("doc_id", chm.cleanup(page).alias("c")).select("doc_id", "c.html")
+
+
+_REFS = """CASE doc_id % 6 WHEN 0 THEN '../img/' || doc_id || '.PNG' WHEN 1 THEN 'http://x/' || doc_id || '.png' WHEN 2 THEN '/img/./' || doc_id || '.gif'
+  WHEN 3 THEN chr(92) || 'img' || chr(92) || doc_id || '.dat' WHEN 4 THEN 'none.png' ELSE '' END"""
+
+
+@query(
+    f"""SELECT doc_id, src, CASE WHEN doc_id % 6 IN (0, 2, 3) THEN 'data:' || CASE doc_id % 6 WHEN 0 THEN 'image/png' WHEN 2 THEN 'image/gif' ELSE 'application/octet-stream' END
+  || ';base64,' || to_base64(encode(CAST(n_chars AS VARCHAR))) ELSE src END AS uri FROM (SELECT doc_id, n_chars, {_REFS} AS src FROM documents)"""
+)
+def chm_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of every document's page: beside it, outside, at the root, with backslashes, or missing."""
+    docs = _table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 6 == 0, ".PNG").when(F.col("doc_id") % 6 == 2, ".gif").otherwise(".dat")
+    path = F.concat(F.when(F.col("doc_id") % 6 == 2, "/img/").otherwise("img/"), F.col("doc_id"), kind)
+    files = docs.select((F.col("doc_id") % 10).alias("archive"), path.alias("path"), F.col("n_chars").cast("string").cast("binary").alias("content"))
+    refs = docs.select("doc_id", (F.col("doc_id") % 10).alias("archive"), F.lit("html/a.htm").alias("base"), F.expr(_REFS).alias("src"))
+    return chm.pictures(refs, files, "archive").select("doc_id", "src", "uri")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, doc_id % 30 + 1 AS w, doc_id % 12 + 1 AS h, doc_id % 2 = 1 AS rtl FROM documents),
+r AS (SELECT *, unnest(range(h)) AS y FROM p), t AS (SELECT *, md5(doc_id || '-' || y)[1:w] AS line FROM r),
+q AS (SELECT *, unnest(CASE WHEN w > h THEN [0, 1] ELSE [0] END) AS part FROM t)
+SELECT doc_id, part::INT AS ord, 'p' || doc_id || '.x' || CASE WHEN w > h THEN '_' || (part + 1) ELSE '' END || '.png' AS name,
+  string_agg(CASE WHEN w <= h THEN line WHEN (part = 1) <> rtl THEN line[w // 2 + 1:] ELSE line[:w // 2] END, '/' ORDER BY y) AS pixels
+FROM q GROUP BY doc_id, part, w, h"""
+)
+def comic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of every document, cut into halves where it is wider than high, and read again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("index"), F.concat(F.lit("p"), F.col("doc_id"), F.lit(".x.png")).alias("name"), fixtures.grey_png(F.col("doc_id")).alias("content"))
+    found = comic.pages(docs, "doc_id", F.col("doc_id") % 2 == 1)
+    return found.select("doc_id", "ord", "name", fixtures.letters_of(F.col("content")).alias("pixels"))
+
+
+_LINKS = "regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '(?s)<a href=\"([^\"]*)\"[^>]*>(.*?)</a>'"
+
+
+@query(
+    f"""WITH n AS (SELECT page_id, {_LINKS}, 1) AS href, {_LINKS}, 2) AS label FROM pages)
+SELECT page_id, 0 AS ord, 'list' AS kind, trim(array_to_string(list_transform(list_zip(href, label), lambda x: '- [' || trim(x[2]) || '](' || x[1] || ')'), ' ')) AS text FROM n"""
+)
+def html_nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of links that every page begins with, as Markdown."""
+    return html.blocks_of(html.books(_pages(spark, sf_dir), F.col("name"), F.col("html")), "page_id").where("kind = 'list'").select("page_id", "ord", "kind", "text")
+
+
+@query(
+    """SELECT page_id, (2 + len(regexp_extract_all(html, '<h1')) + len(list_filter(string_split(split_part(split_part(html, '<article', 2), '</article>', 1), '<p>')[2:], lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> ''))
+  + len(regexp_extract_all(html, '<footer')))::BIGINT AS n_blocks FROM pages"""
+)
+def html_blocks_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every page: the links, the notice, the heading, paragraphs and the foot."""
+    return html.blocks_of(html.books(_pages(spark, sf_dir), F.col("name"), F.col("html")), "page_id").groupBy("page_id").agg(F.count("*").alias("n_blocks"))
+
+
+@query(
+    """SELECT doc_id, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'Ann' || doc_id || ' Lee' ELSE 'Ismeretlen szerző' END AS author, doc_id % 3 = 0 AS has_cover,
+  1 + (doc_id % 3 = 0)::INT AS n_sections FROM documents"""
+)
+def fb2_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, author and cover of every document written as a FictionBook file."""
+    num = F.col("doc_id").cast("string")
+    author = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<author><first-name>Ann"), num, F.lit("</first-name><last-name> Lee </last-name></author>"))).otherwise("")
+    cover = F.when(F.col("doc_id") % 3 == 0, '<coverpage><image href="#c"/></coverpage>').otherwise("")
+    xml = F.concat(F.lit("<FictionBook><description><title-info>"), author, F.lit("<book-title> T"), num, F.lit("</book-title>"), cover, F.lit('</title-info></description><body><section><p>x</p></section></body><binary id="c" content-type="image/png">QUJD</binary></FictionBook>'))
+    books = fb2.books(_table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), F.concat("doc_id", F.lit(".fb2")), F.col("xml"))
+    n = F.size("fb2.sections") + F.col("fb2.cover").isNotNull().cast("int")
+    return books.select("doc_id", "fb2.title", "fb2.author", F.col("fb2.cover").isNotNull().alias("has_cover"), n.alias("n_sections"))
+
+
+@query(
+    """SELECT doc_id, 'Title ' || doc_id AS title, 'Author ' || doc_id AS author, '<html><body><h1>One</h1>' || doc_id || '<br/>\n<b>end</b></body></html>' AS html, NULL::VARCHAR AS error FROM documents"""
+)
+def ereader_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, author and markup of every document's number written as an eReader database."""
+    return ereader.books(_table(spark, sf_dir, "documents").select("doc_id", fixtures.ereader(F.col("doc_id")).alias("content")), "doc_id")

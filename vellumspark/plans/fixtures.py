@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumspark.operators import comic
+
 
 def tcr(text: bytes) -> bytes:
     return b"!!8-Bit!!" + b"\0" + b"".join(bytes((1, i)) for i in range(1, 256)) + text
@@ -78,3 +82,66 @@ def fiction_book(doc_id: Column, text: Column) -> Column:
     label = F.when(doc_id % 3 == 0, "").otherwise(F.concat(F.lit("<title><p>Part "), doc_id, F.lit("</p></title>")))
     inner = F.concat(F.lit("<section><title><p>Notes</p></title><subtitle>"), doc_id, F.lit("</subtitle><p><emphasis>end</emphasis></p></section>"))
     return F.concat(F.lit("<FictionBook><body><section>"), label, F.lit("<p>"), safe, F.lit("</p>"), inner, F.lit("</section></body></FictionBook>"))
+
+
+def style_sheet(doc_id: Column) -> Column:
+    """styles.xml with doc_id % 5 + 1 styles, each based on the one before it; the first is based on the last where doc_id % 7 is 0
+    (a cycle), and on an unknown one where it is 1. Which properties a style has follows from its number."""
+    sid = lambda i: F.concat(F.lit("s"), i.cast("string"))
+    last = (doc_id % 5).cast("int")
+
+    def style(i: Column) -> Column:
+        base = F.when(i > 0, sid(i - 1)).when(doc_id % 7 == 0, sid(last)).when(doc_id % 7 == 1, "missing")
+        k = doc_id + i
+        bold = F.when(k % 3 == 0, '<w:b w:val="0"/>').when(k % 3 == 1, "<w:b/>").otherwise("")
+        size = F.when(k % 4 == 0, F.concat(F.lit('<w:sz w:val="'), (k % 40).cast("string"), F.lit('"/>'))).otherwise("")
+        spacing = F.when(k % 5 == 0, F.concat(F.lit('<w:spacing w:line="'), (k % 100).cast("string"), F.lit('"/>'))).when(k % 5 == 1, '<w:spacing w:before="6"/>').otherwise("")
+        jc = F.when(i % 2 == 1, F.concat(F.lit('<w:jc w:val="j'), i.cast("string"), F.lit('"/>'))).otherwise("")
+        return F.concat(
+            F.lit('<w:style w:type="'), F.when(i % 2 == 0, "paragraph").otherwise("character"), F.lit('" w:styleId="'), sid(i), F.lit('">'),
+            F.when(base.isNotNull(), F.concat(F.lit('<w:basedOn w:val="'), base, F.lit('"/>'))).otherwise(""),
+            F.lit("<w:pPr>"), spacing, jc, F.lit("</w:pPr><w:rPr>"), bold, size, F.lit("</w:rPr></w:style>"),
+        )
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), last), style), "")
+    return F.concat(F.lit('<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'), body, F.lit("</w:styles>"))
+
+
+def grey_png(doc_id: Column) -> Column:
+    """A grey picture of doc_id % 30 + 1 by doc_id % 12 + 1 whose row r has the letters of md5(doc_id-r) as its pixels."""
+
+    @F.pandas_udf("binary")
+    def made(ids: pd.Series) -> pd.Series:
+        def one(i: int) -> bytes:
+            rows = [np.frombuffer(hashlib.md5(f"{i}-{r}".encode()).hexdigest()[: i % 30 + 1].encode(), np.uint8) for r in range(i % 12 + 1)]
+            return comic.png(np.stack(rows)[:, :, None], 0)
+
+        return pd.Series([None if i is None else one(int(i)) for i in ids], dtype=object)
+
+    return made.asNondeterministic()(doc_id)
+
+
+def letters_of(png: Column) -> Column:
+    """The rows of such a picture as text, a slash between them."""
+
+    @F.pandas_udf("string")
+    def read(found: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else "/".join(r.tobytes().decode() for r in comic.pixels(bytes(c))[0]) for c in found], dtype=object)
+
+    return read(png)
+
+
+def ereader(doc_id: Column) -> Column:
+    """An eReader database with two text pages, a chapter, and a record of title and author."""
+
+    @F.pandas_udf("binary")
+    def made(ids: pd.Series) -> pd.Series:
+        def one(i: int) -> bytes:
+            r0 = bytearray(132)
+            for at, v in ((0, 2), (12, 3), (14, 1), (24, 1), (32, 3), (40, 4), (44, 4)):
+                r0[at : at + 2] = struct.pack(">H", v)
+            return pdb(b"PNRdPPrs", [bytes(r0), pack(f'\\C0="One"{i}\n'.encode()), pack(b"\\Bend\\b"), b"\0\0\0\1One\0", f"Title {i}\0Author {i}\0".encode()])
+
+        return pd.Series([None if i is None else one(int(i)) for i in ids], dtype=object)
+
+    return made.asNondeterministic()(doc_id)
