@@ -106,10 +106,11 @@ def _confirm(words: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) of the pairs (a, b), a being the centre, on full sets."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    members = pairs.join(stars, "a").select(F.col("a"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("id"))
-    centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("id"))
+    """(a, b, linked) of the pairs (a, b), which are written, on full sets; a is the centre. Stars are counted before the
+    shuffle; only those of more than GROUP members have a row of their number of groups, so that members find theirs without meeting at the centre first."""
+    large = saved(pairs.groupBy("a").agg(F.count("*").alias("n")).where(f"n > {GROUP}").select("a", F.ceil(F.col("n") / GROUP).cast("int").alias("salts")), "large")
+    members = pairs.join(large, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("id"))
+    centres = members.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("id"))
     rows = members.unionByName(centres).join(texts, "id").select("a", "salt", "kind", "id", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "id")
     return rows.mapInArrow(_confirm(words, percent), "a long, b long, linked boolean")
@@ -202,7 +203,8 @@ def _linked_classes(buckets: DataFrame, texts: DataFrame, words: int, percent: i
     labels = saved(buckets.select("id", F.col("id").alias("component")).distinct(), "labels")
     sizes = buckets.select(F.col("id").alias("a"), F.col("n").alias("n_other")).distinct()
     pairs = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "n").distinct()
-    tested = saved(confirmed(pairs.join(sizes, "a").where(fits).select("a", "b"), texts, words, percent), "tested")
+    pairs = saved(pairs.join(sizes, "a").where(fits).select("a", "b"), "pairs")
+    tested = saved(confirmed(pairs, texts, words, percent), "tested")
     known = both_ways(tested)
     labels = _merged(labels, tested)
 
