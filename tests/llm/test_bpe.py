@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -60,3 +61,10 @@ def test_all_documents(spark, sf_dir):
     rows = docs.select("doc_id", "text").collect()
     assert len(got) == len(rows)
     check([got[r.doc_id] for r in rows], [r.text for r in rows])
+
+
+def test_moves_are_bounded_inside_a_pre_token():
+    r = random.Random(2)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20000)).encode()
+    small, full = bpe.Transducer(RANKS, 500), bpe.Transducer(RANKS, 1 << 30)
+    assert small.encode(word) == full.encode(word) and small.n_moves <= 500 < full.n_moves and len(small.states) <= 502

@@ -54,12 +54,15 @@ class Transducer:
         self.token = {i: token for token, i in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves = {i: self._halves(token) for token, i in ranks.items()}
+        self.ids, self.states, self.moves = {}, [], []
         self._reset()
 
     def _reset(self) -> None:
+        """Forgets all moves, in the lists that are in use."""
         # A state: (tail, anchor, ((distance, pending tokens), ...)); anchor: the last emitted token, -1 at the start.
         start = (b"", -1, ((0, ()),))
-        self.ids, self.states, self.moves, self.n_moves = {start: 0}, [start], [{}], 0
+        self.ids.clear()
+        self.ids[start], self.states[:], self.moves[:], self.n_moves = 0, [start], [{}], 0
 
     def _halves(self, token: bytes) -> tuple[int, int]:
         """The two tokens that the last merge of a token puts together; (-1, -1) for a single byte."""
@@ -96,6 +99,13 @@ class Transducer:
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        if self.n_moves >= self.kept_moves:  # also inside a long pre-token: the state that is reached stays
+            here = self.states[state]
+            self._reset()
+            state = self.ids.setdefault(here, len(self.states))
+            if state == len(self.states):
+                self.states.append(here)
+                self.moves.append({})
         tail, anchor, live = self.states[state]
         tail += bytes((byte,))
         ends, still = [], []
@@ -132,8 +142,6 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if self.n_moves > self.kept_moves:
-            self._reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
             state, emitted = moves[state].get(byte) or self._move(state, byte)
