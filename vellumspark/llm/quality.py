@@ -93,7 +93,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
 
     ``host`` and ``path`` are columns of docs; null counts as a site of its own. A text without words, null or empty,
     has the probability 0 and is rejected. Without labels of both kinds every other text has a half and stays. Rows
-    that repeat an id stay, and share a label. docs must not have columns of the names that are added.
+    that repeat an id stay, and share a label. Other columns of docs stay, whatever their names; one of a name that is added is refused.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
 
@@ -104,11 +104,15 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
         p = np.full(len(x), 0.5) if model is None else probability(np.nan_to_num(x), model)
         return pd.Series(np.where(np.isnan(x[:, 0]), 0.0, p))
 
-    named = docs.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("")), "_path": F.coalesce(path.cast("string"), F.lit(""))})
+    extra = {"_p_document", "_host_posterior", "_path_posterior", "_posterior", "_rejected"} & set(docs.columns)
+    if extra:
+        raise ValueError(f"docs have columns of the names that are added: {sorted(extra)}")
+    host_name, path_name = (next(n for n in (f"_{x}" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("host", "path"))
+    named = docs.withColumns({host_name: F.coalesce(host.cast("string"), F.lit("")), path_name: F.coalesce(path.cast("string"), F.lit(""))})
     # Called nondeterministic, as the optimizer may else run it a second time for a filter, in a second worker.
     scored = named.withColumn("_p_document", of.asNondeterministic()(F.col(text_col)))
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
-    evidence = saved(scored.select(F.col(id_col).alias("_id"), "_host", "_path", "_p_document"), "evidence").join(marked, "_id", "left")
+    evidence = saved(scored.select(F.col(id_col).alias("_id"), F.col(host_name).alias("_host"), F.col(path_name).alias("_path"), "_p_document"), "evidence").join(marked, "_id", "left")
     paths = saved(evidence.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(F.coalesce("_y", "_p_document")).alias("good")), "paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     prior = min(max((total.good / total.n) if total.n else 0.5, 1e-6), 1 - 1e-6)
@@ -119,8 +123,9 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     strength = _strength(both, "mean", "_host_posterior", "n")
     sites = saved(both.select("_host", "_path", "_host_posterior", ((F.col("good") + strength * F.col("_host_posterior")) / (F.col("n") + strength)).alias("_path_posterior")), "sites")
     odds = _logit(F.col("_p_document")) + _logit(F.col("_path_posterior")) - _logit(F.lit(prior))
-    out = scored.join(sites, ["_host", "_path"]).withColumn("_posterior", F.when(F.col("_p_document") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds))))
-    return out.withColumn("_rejected", F.col("_posterior") < 0.5).drop("_host", "_path")
+    sites = sites.withColumnsRenamed({"_host": host_name, "_path": path_name})
+    out = scored.join(sites, [host_name, path_name]).withColumn("_posterior", F.when(F.col("_p_document") == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds))))
+    return out.withColumn("_rejected", F.col("_posterior") < 0.5).drop(host_name, path_name)
 
 
 def site(column: str) -> tuple[Column, Column]:
