@@ -1,4 +1,6 @@
+import math
 import random
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ def test_counts_of_a_small_trie():
 def test_counts_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in registry.op9_token_counts(spark, sf_dir).collect()}
-    for r in docs.limit(60).collect():
+    for r in docs.collect():
         n = [greedy(w) for w in r.text.split()]
         assert got[r.doc_id] == (len(n), sum(abs(x) for x in n), n.count(-1))
     edge = spark.createDataFrame([(1, None, 1), (None, "", 2), (3, "hello " * 50000, 3), (3, "\U0010fffd", 4)], "doc_id long, text string, n_words int")
@@ -51,6 +53,35 @@ def test_held_out_language(spark):
     assert right > 0.9
 
 
+def test_language_by_brute_force(spark, sf_dir):
+    """The nearest centroid of every document again: trigrams counted in a dictionary, cosines summed one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train(docs, F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r for r in language.identify(docs, model, reject=False).collect()}
+    for r in docs.collect():
+        letters = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (r.text or "").lower())
+        cells = {}
+        edge = " " + (" " if letters[:1] == " " else "") + " ".join(letters.split()) + (" " if letters[-1:] == " " else "") + " "
+        for i in range(len(edge) - 2):
+            a, b, c = (ord(x) for x in edge[i : i + 3])
+            h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            cells[h >> 19] = cells.get(h >> 19, 0) + 1
+        v = {k: (1 + math.log(n)) * model["idf"][k] for k, n in cells.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(x * float(c[k]) for k, x in v.items()) / size for c in model["centroids"]]
+        if not any(unicodedata.category(c)[0] == "L" for c in r.text):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        assert abs(got[r.doc_id].score - max(0, max(near))) < 1e-4
+        best = {model["langs"][model["of"][k]] for k, x in enumerate(near) if x > max(near) - 1e-5}
+        assert got[r.doc_id].lang_pred in best
+
+
+def test_marks_alone_have_no_language():
+    assert language.counts("\u0301\u0302") is None and language.counts("e\u0301") is not None
+
+
 def test_language_edges(spark):
     texts = ["the cat and the dog", "der Hund und die Katze", None, "", "123 ... !!", "x" * 200000, "the", "日本語"]
     df = spark.createDataFrame([(i, t, "en" if i % 2 == 0 else "de", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score double")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: hash of the id; the share of these that the rejection distance leaves outside.
 DIMENSIONS, CLUSTERS, SAMPLE, OUTSIDE = 1 << 13, 4, 600, 0.001
 
+#: Letters and their marks make trigrams; only letters make a text have a language.
+_LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
 _TABLE = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
 
 
@@ -30,7 +32,7 @@ def counts(text: str | None) -> np.ndarray | None:
     """How often each cell occurs; None if there is no letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _TABLE[points]
-    if not letter.any():
+    if not _LETTER[points].any():
         return None
     at = np.where(letter, points, 32)
     keep = np.ones(len(at), bool)
