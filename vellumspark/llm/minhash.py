@@ -154,15 +154,18 @@ def _outside(words: int, percent: int):
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for the ids of the links (a, b): the smallest id reachable, which isn't listed itself. Alternates large and small
-    stars (each an aggregation of minima and a join) until the edges stay the same; every round is written."""
+    stars (each an aggregation of minima and a join) until the edges stay the same; every round is written, and so are the minima:
+    Spark splits a hot key of a join whose sides are read from tables, not one whose side was aggregated by that key."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.toDF("id", "component")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.join(least, "u").where("v >= u or v = m").select(F.greatest("u", "v").alias("u"), "m")
         large = saved(large.select("u", F.col("m").alias("v")).where("u > v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -171,12 +174,13 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _merged(labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """The labels (id, component) after the links among what was tested."""
+def _merged(labels: DataFrame, tested: DataFrame, alone: bool = False) -> DataFrame:
+    """The labels (id, component) after the links among what was tested; alone: every id is still its own component."""
     ends = tested.where("linked").select("a", "b")
-    for c in ("a", "b"):
-        ends = ends.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c)
-    ends = ends.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    if not alone:
+        for c in ("a", "b"):
+            ends = ends.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c)
+        ends = ends.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     moved = components(ends).select(F.col("id").alias("component"), F.col("component").alias("to"))
     return saved(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
 
@@ -190,23 +194,22 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     most = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component", *(f"p{k}" for k in range(PIVOTS)))).alias("most"))
     pivots = F.array(*(F.struct(F.col(f"most.p{k}.id").alias("id"), F.col(f"most.p{k}.n").alias("n")) for k in range(PIVOTS)))
     most = most.where("parts > 1").select("bucket", F.col("most.component").alias("main"), F.array_distinct(pivots).alias("pivots"))
-    return saved(inside.join(most, "bucket"), "apart")
+    return saved(inside.join(saved(most, "most"), "bucket"), "apart")
 
 
 def _linked_classes(buckets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Labels (id, component) of the classes in buckets (bucket, id, n, centre, held)."""
+    """Labels (id, component) of the classes in buckets (bucket, id, n, centre, n_centre, held)."""
     fits = f"least(n, n_other) * 100 >= greatest(n, n_other) * {percent}"
 
     def both_ways(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     labels = saved(buckets.select("id", F.col("id").alias("component")).distinct(), "labels")
-    sizes = buckets.select(F.col("id").alias("a"), F.col("n").alias("n_other")).distinct()
-    pairs = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "n").distinct()
-    pairs = saved(pairs.join(sizes, "a").where(fits).select("a", "b"), "pairs")
+    pairs = buckets.withColumnRenamed("n_centre", "n_other").where(f"id <> centre and {fits}")
+    pairs = saved(pairs.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     tested = saved(confirmed(pairs, texts, words, percent), "tested")
     known = both_ways(tested)
-    labels = _merged(labels, tested)
+    labels = _merged(labels, tested, alone=True)
 
     apart = _apart(buckets, labels)
     few = apart.where(f"held <= {FEW}")
@@ -221,6 +224,8 @@ def _linked_classes(buckets: DataFrame, texts: DataFrame, words: int, percent: i
     labels = _merged(labels, tested)
 
     many = _apart(buckets.where(f"held > {FEW}"), labels)
+    if many.isEmpty():
+        return labels
     members = saved(many.select(F.col("main").alias("g"), "id", "n", "component").distinct(), "members")
     order = Window.partitionBy("g").orderBy(F.xxhash64("id"), "id")
     sample = members.withColumn("turn", F.row_number().over(order)).where(f"turn <= {SAMPLE}").select("g", "id")
@@ -259,8 +264,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     usable = sketches.where("id is not null and n_shingles > 0")
     classes = saved(usable.groupBy("set_key").agg(F.min("id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select(F.col("class_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
-    full = banded.groupBy("band", "key").agg(F.min(F.struct("n", "id"))["id"].alias("centre"), F.count("*").alias("held")).where("held > 1")
-    buckets = saved(banded.join(full, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id", "n", "centre", "held"), "buckets")
+    full = banded.groupBy("band", "key").agg(F.min(F.struct("n", "id")).alias("least"), F.count("*").alias("held")).where("held > 1")
+    full = saved(full.select("band", "key", F.col("least.id").alias("centre"), F.col("least.n").alias("n_centre"), "held"), "full")
+    buckets = banded.join(full, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id", "n", "centre", "n_centre", "held")
+    buckets = saved(buckets, "buckets")
     ids = saved(buckets.select("id").distinct(), "ids")
     texts = saved(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
     labels = _linked_classes(buckets, texts, words, percent)
