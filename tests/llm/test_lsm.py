@@ -40,3 +40,19 @@ def test_empty_and_hot(spark):
     got = lsm.deduplicate(hot, keep="max")
     assert got.where("kept").count() == 20000 - 6667 + 1
     assert got.where("group_size = 6667 and keep_id = 19998").count() == 6667
+
+
+def test_more_hits_than_the_filter_has_bits_for(spark, monkeypatch):
+    monkeypatch.setattr(lsm, "FILTER_BITS", 1 << 15)
+    rows = [(i, f"text {i % 9000}" if i < 18000 else f"only {i}") for i in range(20000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, lsm.deduplicate(df).collect()), key=repr) == brute(rows, "min")
+
+
+def test_filter_keeps_every_hit(spark, monkeypatch):
+    monkeypatch.setattr(lsm, "FILTER_BITS", 1 << 16)
+    for n in (1, 3000, 60000):
+        digests = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
+        probes, bits = lsm._bloom(spark.createDataFrame([(d,) for d in digests], "digest binary").repartition(3), n).value
+        assert 1 <= probes <= lsm.PROBES and len(bits) * 8 <= 1 << 16
+        assert all(bits[p >> 3] >> (p & 7) & 1 for d in digests for p in lsm._positions(d, len(bits) * 8, probes))

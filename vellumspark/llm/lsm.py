@@ -6,8 +6,9 @@
 * *Compaction* merges the runs by digest and keeps the smallest identifier and the count. Map-side combination
   leaves one row for each digest and task, so a group of a third of all rows is spread over the runs.
 * *Filters and verification*: digests that stand in several runs are hits. Their Bloom filter lets a second scan
-  drop all other texts where they are read; the texts of hits, one for each memtable, are compared with the text
-  of the row that stays. A filter is used up to a fixed size only; the join behind it is exact without it.
+  drop other texts where they are read; the texts of hits, one for each memtable, are compared with the text
+  of the row that stays. The filter grows with the hits up to a fixed size; beyond it, it takes fewer bits for each
+  digest and lets more texts through to the join behind it, which is exact whatever the filter lets through.
 
 If texts with one digest differ, the rows of that digest are grouped by their whole texts instead.
 """
@@ -25,23 +26,23 @@ from vellumspark.llm.store import saved
 
 #: A memtable is flushed when it holds so many bytes of text or rows.
 MEMTABLE_BYTES, MEMTABLE_ROWS = 32 << 20, 1 << 16
-#: A filter of hits is made up to so many bits, with so many for each digest.
-FILTER_BITS, BITS_EACH, PROBES = 1 << 26, 16, 5
+#: A filter of hits has so many bits for each digest, so many bits at most, and so many probes at most.
+BITS_EACH, FILTER_BITS, PROBES = 16, 1 << 28, 5
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _positions(digest: bytes, bits: int) -> list[int]:
+def _positions(digest: bytes, bits: int, probes: int) -> list[int]:
     first = int.from_bytes(digest[:8].ljust(8, b"\0"), "little")
     step = int.from_bytes(digest[-8:].rjust(8, b"\0"), "big") | 1
-    return [(first + k * step) % bits for k in range(PROBES)]
+    return [(first + k * step) % bits for k in range(probes)]
 
 
 def _memtables(digest_bytes: int, with_text: bool, admitted):
     """The map side: batches of (id, text) to the entries of sorted runs."""
 
     def run(batches):
-        filter_bits = admitted.value if admitted is not None else None
+        probes, filter_bits = admitted.value if admitted is not None else (0, None)
         table: dict[bytes, list[list]] = {}
         size = rows = 0
 
@@ -59,7 +60,7 @@ def _memtables(digest_bytes: int, with_text: bool, admitted):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (text.as_py() or b"").lower()  # of bytes: A-Z only
                 digest = hashlib.sha256(raw).digest()[:digest_bytes]
-                if filter_bits is not None and not all(filter_bits[p >> 3] >> (p & 7) & 1 for p in _positions(digest, len(filter_bits) * 8)):
+                if filter_bits is not None and not all(filter_bits[p >> 3] >> (p & 7) & 1 for p in _positions(digest, len(filter_bits) * 8, probes)):
                     continue
                 same = table.setdefault(digest, [])
                 entry = next((e for e in same if e[1] == raw), None)
@@ -80,17 +81,16 @@ def _memtables(digest_bytes: int, with_text: bool, admitted):
 
 
 def _bloom(hits: DataFrame, n: int):
-    """The filter of n digests as a broadcast; None if it would be larger than FILTER_BITS. Its bits are put
-    together by page of 4096 bytes, so what reaches the driver is bounded by the filter and not by the digests."""
-    bits = 1 << max(15, int(np.ceil(np.log2(max(1, n) * BITS_EACH))))
-    if bits > FILTER_BITS:
-        return None
+    """The filter of n digests as a broadcast (probes, bits). Its bits are put together by page of 4096 bytes, so
+    what reaches the driver is bounded by the filter and not by the digests."""
+    bits = min(FILTER_BITS, 1 << max(15, int(np.ceil(np.log2(max(1, n) * BITS_EACH)))))
+    probes = max(1, min(PROBES, round(bits / n * np.log(2))))
 
     def pages(batches):
         made = np.zeros(bits >> 3, np.uint8)
         for batch in batches:
             for digest in batch.column(0).to_pylist():
-                for p in _positions(digest, bits):
+                for p in _positions(digest, bits, probes):
                     made[p >> 3] |= 1 << (p & 7)
         made = made.reshape(-1, 4096)
         for k in range(0, len(made), 256):
@@ -98,9 +98,9 @@ def _bloom(hits: DataFrame, n: int):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([made[i].tobytes() for i in used], pa.binary())], ["page", "bits"])
 
     whole = np.zeros((bits >> 15, 4096), np.uint8)
-    for row in hits.select("digest").coalesce(8).mapInArrow(pages, "page int, bits binary").toLocalIterator():
+    for row in hits.select("digest").coalesce(64).mapInArrow(pages, "page int, bits binary").toLocalIterator():
         whole[row.page] |= np.frombuffer(row.bits, np.uint8)
-    return hits.sparkSession.sparkContext.broadcast(whole.tobytes())
+    return hits.sparkSession.sparkContext.broadcast((probes, whole.tobytes()))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest_bytes: int = 32) -> DataFrame:
