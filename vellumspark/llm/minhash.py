@@ -12,7 +12,9 @@ star-shaped candidate edges.
    shingles of most of some members: two sets share at most as much of the core as either of them holds, so if one
    holds too little, a link needs a number of shared shingles outside the core that follows from the sizes. Such
    pairs meet over a prefix of their shingles outside (of n shingles of which k must be shared, one is among any
-   n - k + 1); pairs that both hold enough of the core are compared directly. The core
+   n - k + 1). Two sets share at least what they hold of the core less its size, so for many links that alone is
+   proof: all such links of a group are among those to the one member that holds most for its size, its *anchor*, which
+   make one star. Pairs that are still apart and both hold enough of the core are compared directly. The core
    decides only how much is compared: no pair that could be a link is left out.
 
 A link at the threshold is missed only if no band agrees: (1 - 0.8^4)^32 = 5e-8.
@@ -237,12 +239,20 @@ def _linked_classes(buckets: DataFrame, texts: DataFrame, words: int, percent: i
     rows = rows.select("g", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("int").alias("floor"), F.lit(None).cast("array<long>").alias("core"), "id", "text")
     rows = heads.select("g", "salt", F.col("floor").cast("int"), "core", "id", "text").unionByName(rows)
     rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", F.asc_nulls_first("id"))
-    shown = saved(rows.mapInArrow(_outside(words, percent), "g long, id long, held_core long, far boolean, keys array<long>"), "outside").join(members, ["g", "id"])
+    shown = saved(rows.mapInArrow(_outside(words, percent), "g long, id long, held_core long, far boolean, keys array<long>"), "outside")
+    # a and b are linked for certain if surplus_a + surplus_b >= full: then so is each with the member of the greatest surplus.
+    surplus = shown.drop("keys").join(members.drop("component"), ["g", "id"]).withColumn("surplus", F.col("held_core") * (100 + percent) - F.col("n") * percent)
+    anchors = surplus.groupBy("g").agg(F.max_by("id", F.struct("surplus", "id")).alias("anchor"), F.max("surplus").alias("most"))
+    anchors = saved(anchors.join(groups.select("g", (F.size("core") * (100 + percent)).alias("full")), "g"), "anchors")
+    sure = surplus.join(anchors, "g").where("id <> anchor and surplus + most >= full")
+    labels = _merged(labels, saved(sure.select(F.col("anchor").alias("a"), F.col("id").alias("b"), F.lit(True).alias("linked")).distinct(), "sure"))
+    main = saved(groups.select("g").join(labels.toDF("g", "main"), "g"), "main")
+    shown = saved(shown.join(members.drop("component"), ["g", "id"]).join(labels, "id").join(main, "g"), "shown")
     # Of two members in different components, one isn't in the main one. A link takes ``need`` shingles outside the core.
     need = f"ceil({percent} * (n + n_other) / {100 + percent}D - 1e-9) - least(core_a, core_b)"
-    apart = f"of_a <> of_b and (of_b = g or a < b) and {fits}"
-    one = shown.where("component <> g").select("g", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_other"), F.col("held_core").alias("core_a"), "far", "keys")
-    two = shown.select("g", F.col("id").alias("b"), F.col("component").alias("of_b"), "n", F.col("held_core").alias("core_b"), F.col("far").alias("far_b"), F.col("keys").alias("keys_b"))
+    apart = f"of_a <> of_b and (of_b = main or a < b) and {fits}"
+    one = shown.where("component <> main").select("g", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_other"), F.col("held_core").alias("core_a"), "far", "keys")
+    two = shown.select("g", "main", F.col("id").alias("b"), F.col("component").alias("of_b"), "n", F.col("held_core").alias("core_b"), F.col("far").alias("far_b"), F.col("keys").alias("keys_b"))
     met = one.withColumn("key", F.explode("keys")).drop("keys").join(two.withColumn("key", F.explode("keys_b")).drop("keys_b"), ["g", "key"]).where(apart).select("a", "b")
     close = one.where("not far").drop("keys").join(two.where("not far_b").drop("keys_b"), "g").where(f"{apart} and {need} <= 0").select("a", "b")
     pairs = saved(both_ways(met.unionByName(close)).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
