@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -63,3 +64,25 @@ def test_dedup_of_repeated_and_null_ids(spark, sf_dir):
     rows = [(2, base + " z"), (2, other), (1, base), (None, base + " w"), (None, "nothing like it at all here"), (3, "x"), (3, "x"), (9, other + " z"), (4, None)]
     want = [(1, base), (2, other), (None, "nothing like it at all here"), (3, "x"), (4, None)]
     assert kept(pipeline.near_dedup, rows) == sorted(want, key=str)
+
+
+def test_exact_dedup_leaves_lone_texts_where_they_are(spark, sf_dir):
+    """Also where what the index found is too large to be broadcast, whole texts of no group aren't shuffled."""
+    some = random.Random(7)
+    alone = [(i, some.randbytes(20_000).hex()) for i in range(400)]
+    twice = [(1000 + i, some.randbytes(30).hex()) for i in range(5)]
+    docs = saved(spark.createDataFrame(alone + twice + [(2000 + i, text.upper()) for i, text in twice], "doc_id long, text string"), "lone")
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(tuple(r) for r in pipeline.exact_dedup(spark, docs, sf_dir).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == sorted(alone + twice)
+    assert shuffled() - before < 1 << 20

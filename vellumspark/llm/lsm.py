@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +104,21 @@ def _bloom(hits: DataFrame, n: int):
     return hits.sparkSession.sparkContext.broadcast((probes, whole.tobytes()))
 
 
+def grouped_digest(digests: DataFrame, n: int):
+    """A function of a column of texts: the text's digest in hex if a filter of the n ``digests`` (column digest) lets it
+    through, else null. None of them is null; what is broadcast has a bound, and more is let through beyond it."""
+    admitted = _bloom(digests, n)
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        probes, bits = admitted.value
+        found = [hashlib.sha256(text.lower()) for text in texts]  # of bytes: A-Z only
+        return pd.Series([h.hexdigest() if all(bits[p >> 3] >> (p & 7) & 1 for p in _positions(h.digest(), len(bits) * 8, probes)) else None for h in found], dtype=object)
+
+    # Called nondeterministic, as the optimizer may else run it a second time for a filter.
+    return lambda text: of.asNondeterministic()(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest_bytes: int = 32) -> DataFrame:
     """One row for each row of df: ``id_col``, keep_id, group_size, kept, text_sha256.
 
