@@ -68,3 +68,18 @@ def test_moves_are_bounded_inside_a_pre_token():
     word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20000)).encode()
     small, full = bpe.Transducer(RANKS, 500), bpe.Transducer(RANKS, 1 << 30)
     assert small.encode(word) == full.encode(word) and small.n_moves <= 500 < full.n_moves and len(small.states) <= 502
+
+
+def test_words_of_different_beginnings_share_states():
+    r = random.Random(3)
+    words = [" " + "".join(r.choice(["th", "he", "an", "in", "er", "on", "re", "nd", "ing", "ti"]) for _ in range(r.randint(2, 7))) for _ in range(5000)]
+    machine, small = bpe.Transducer(RANKS, 1 << 30), bpe.Transducer(RANKS, 300)
+    for word in words:
+        assert list(machine.encode(word.encode())) == list(small.encode(word.encode())) == TRUE._encode_single_piece(word.encode())
+    assert len(machine.states) < 5000 and len(small.states) <= 302
+
+
+def test_a_merge_must_come_after_its_parts():
+    ranks = {bytes((i,)): i + 2 for i in range(256)} | {b"ab": 1, b"abc": 0}
+    with pytest.raises(ValueError):
+        bpe.Transducer(ranks)

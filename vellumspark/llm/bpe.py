@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 The merges are compiled into a finite-state transducer whose deterministic states are made when a text first
-needs them. A state stands for what the bytes read so far still leave open inside one pre-token:
-
-* the *live* positions, at which a token may begin that ends after the bytes read so far (the text from there is
-  a proper prefix of some token), and the position after the last byte;
-* for each live position, the tokens of the only encoding that ends there, as far as they are still pending.
+needs them. A state stands for what the bytes read so far still leave open inside one pre-token: the *live*
+positions, at which a token may begin that ends after the bytes read so far (the text from there is a proper
+prefix of some token), and the position after the last byte; for each of them, the token that ends there in the
+only encoding of the bytes before it.
 
 An encoding is the one that BPE makes if and only if each two neighbouring tokens, put together, are again
 encoded as those two (and a lone token as itself); so reading a byte adds one position, whose last token is the
-only one that begins at a live position and agrees with the token before it. What all live positions have in
-common is emitted. Live positions reach back by the longest token at most, which bounds the lookahead.
+only one that begins at a live position and agrees with the token before it. The transducer notes that token for
+each byte, and the encoding is read from these notes, from the last byte back: the token that ends there, then the
+one that ends where it begins. What came before the tokens at live positions isn't part of a state, so that words
+of different beginnings share states. Live positions reach back by the longest token at most.
 
 Decoding runs an incremental UTF-8 state machine over token ids; its moves over whole tokens are kept too.
 """
@@ -22,7 +23,7 @@ import gc
 import hashlib
 import sys
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Sequence
 from itertools import accumulate, chain
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from vellumspark.llm.kept import kept
 
 #: Bounds of what a Python worker keeps: pre-tokens with their ids, moves of the transducer, pairs of tokens.
-KEPT_WORDS, KEPT_MOVES, KEPT_PAIRS = 1 << 19, 1 << 18, 1 << 17
+KEPT_WORDS, KEPT_MOVES, KEPT_PAIRS = 1 << 19, 1 << 19, 1 << 17
 #: Rows of a batch of results, which holds their ids.
 BATCH = 512
 
@@ -50,19 +51,40 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], kept_moves: int = KEPT_MOVES):
         self.kept_moves = kept_moves
         self.ranks = ranks  # a merge makes a token of higher rank than its parts have
-        self.open = {token[:k] for token in ranks for k in range(1, len(token))}
         self.token = {i: token for token, i in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves = {i: self._halves(token) for token, i in ranks.items()}
-        self.ids, self.states, self.moves = {}, [], []
+        self.length = {i: len(token) for token, i in ranks.items()}
+        self._grow()
+        self.ids, self.states, self.last, self.moves, self.turn = {}, [], [], {}, 0
         self._reset()
 
+    @property
+    def n_moves(self) -> int:
+        return len(self.moves)
+
+    def _grow(self) -> None:
+        """The tree of all tokens' beginnings: from node << 8 | byte to a node, its token or None, and whether it goes on."""
+        self.step, self.ending, self.inner = {}, [None], [True]
+        for token, i in self.ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                to = self.step.setdefault(node << 8 | byte, len(self.ending))
+                if to == len(self.ending):
+                    self.ending.append(None)
+                    self.inner.append(False)
+                node = to
+            self.ending[node] = i
+
     def _reset(self) -> None:
-        """Forgets all moves, in the lists that are in use."""
-        # A state: (tail, anchor, ((distance, pending tokens), ...)); anchor: the last emitted token, -1 at the start.
-        start = (b"", -1, ((0, ()),))
+        """Forgets all moves, in the tables that are in use."""
+        # A state: node of the text since then and last token, for each live position and the end; -1 at the start.
+        start = (0, -1)
+        self.turn += 1
         self.ids.clear()
-        self.ids[start], self.states[:], self.moves[:], self.n_moves = 0, [start], [{}], 0
+        self.moves.clear()  # from state << 8 | byte
+        self.ids[start], self.states[:], self.last[:] = 0, [start], [-1]
 
     def _halves(self, token: bytes) -> tuple[int, int]:
         """The two tokens that the last merge of a token puts together; (-1, -1) for a single byte."""
@@ -72,6 +94,8 @@ class Transducer:
             if rank == 1 << 60:
                 raise ValueError("the ranks aren't those of a byte-level BPE vocabulary")
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2 and max(self.ranks[parts[0]], self.ranks[parts[1]]) >= self.ranks[token]:
+            raise ValueError("the ranks aren't those of a byte-level BPE vocabulary")
         return (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
 
     def agree(self, left: int, right: int) -> bool:
@@ -98,56 +122,58 @@ class Transducer:
             self.pairs[left, right] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        if self.n_moves >= self.kept_moves:  # also inside a long pre-token: the state that is reached stays
-            here = self.states[state]
-            self._reset()
-            state = self.ids.setdefault(here, len(self.states))
-            if state == len(self.states):
-                self.states.append(here)
-                self.moves.append({})
-        tail, anchor, live = self.states[state]
-        tail += bytes((byte,))
-        ends, still = [], []
-        for distance, pending in live:
-            piece = tail[len(tail) - distance - 1 :]
-            token = self.ranks.get(piece)
-            if token is not None and self.agree(pending[-1] if pending else anchor, token):
-                ends.append((*pending, token))
-            if piece in self.open:
-                still.append((distance + 1, pending))
-        if len(ends) != 1:
-            raise ValueError("the ranks aren't those of a byte-level BPE vocabulary")
-        still.append((0, ends[0]))
-        common = ends[0]
-        for _, pending in still:
-            while common != pending[: len(common)]:
-                common = common[:-1]
-        if common:
-            anchor, n = common[-1], len(common)
-            still = [(d, p[n:]) for d, p in still]
-        if () not in [p for _, p in still]:
-            anchor = -2  # no live position follows it directly: it decides nothing any more
-        key = (tail[len(tail) - still[0][0] :], anchor, tuple(still))  # the first reaches back the farthest
+    def _state(self, key: tuple) -> int:
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = found = (to, common)
-        self.n_moves += 1
-        return found
+            self.last.append(key[-1])
+        return to
+
+    def _move(self, state: int, byte: int) -> int:
+        if len(self.moves) >= self.kept_moves:  # also inside a long pre-token: the state that is reached stays
+            here = self.states[state]
+            self._reset()
+            state = self._state(here)
+        step, ending, inner, found, still = self.step.get, self.ending, self.inner, [], []
+        live = iter(self.states[state])
+        for node, before in zip(live, live, strict=True):
+            node = step(node << 8 | byte)
+            if node is None:
+                continue
+            if ending[node] is not None:
+                found.append((before, ending[node]))
+            if inner[node]:
+                still += node, before
+        if len(found) > 1:  # else it is the only one that can end here
+            found = [pair for pair in found if self.agree(*pair)]
+        if len(found) != 1:
+            raise ValueError("the ranks aren't those of a byte-level BPE vocabulary")
+        to = self.moves[state << 8 | byte] = self._state((*still, 0, found[0][1]))
+        return to
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out, moves = 0, [], self.moves
+        state, known, move, turn = 0, self.moves.get, self._move, self.turn
+        path = [state := known(state << 8 | byte) or move(state, byte) for byte in piece]  # no move leads to the start
+        if self.turn == turn:
+            return self._back(path, self.last)
+        state, ends = 0, []  # moves were forgotten on the way, and with them the numbers of states
         for byte in piece:
-            state, emitted = moves[state].get(byte) or self._move(state, byte)
-            if emitted:
-                out += emitted
-        return (*out, *self.states[state][2][-1][1])
+            state = known(state << 8 | byte) or move(state, byte)
+            ends.append(self.last[state])
+        return self._back(range(len(ends)), ends)
+
+    def _back(self, path: Sequence[int], last: list[int]) -> tuple[int, ...]:
+        """The tokens, from the last byte back."""
+        out, at, length = [], len(path), self.length
+        while at:
+            token = last[path[at - 1]]
+            out.append(token)
+            at -= length[token]
+        return tuple(out[::-1])
 
 
 class Words(dict):
