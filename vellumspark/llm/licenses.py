@@ -98,8 +98,8 @@ class Scanner:
         self.reach = max((t.width for t in self.templates), default=0)
 
     def confirmed(self, text: str, region: list[re.Match]) -> list[tuple]:
-        """(key, first word, end, row) of each confirmed place of each template, the best first: the one that saves most
-        bytes, then the one that lacks least, then the longest."""
+        """(key, first word, end, row) of each confirmed place of each template, the best first: one that holds
+        exactly the template, then the one that saves most bytes, then the one that lacks least, then the longest."""
         words, found = [w[0].lower() for w in region], []
         for t in self.templates:
             if not t.shares(words):
@@ -116,7 +116,7 @@ class Scanner:
                 block = region[place[0] : place[0] + t.width]
                 raw = " ".join(text[block[0].start() : block[-1].end()].lower().split()).encode()
                 gain = len(self.plain(raw)) - len(t.compress(raw))
-                found.append(((-gain, missing + extra, -len(t.words), t.name, place), *place, (block[0].start(), t.name, gain, len(raw), missing, extra, missing == extra == 0)))
+                found.append(((missing + extra > 0, -gain, missing + extra, -len(t.words), t.name, place), *place, (block[0].start(), t.name, gain, len(raw), missing, extra, missing == extra == 0)))
         return sorted(found)
 
     def scan(self, text: str) -> list[tuple]:
